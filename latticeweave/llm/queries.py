@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, lm_score, packing, quality, sharding, simhash, toxicity, url_filter
+from . import bpe, embedding_dedup, license_scan, lm_score, packing, quality, sharding, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learnable()))
@@ -46,5 +50,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_sharding, op6_byte_bpe, op7_simhash, op9_toxicity, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_sharding, op6_byte_bpe, op7_simhash, op8_embedding_dedup, op9_toxicity, op10_lm_score)}
 ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE_SQL}
