@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .bpe import byte_characters
 from .common import short_batches, slim, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,15 +32,25 @@ WINDOW = 4096
 END_ID = 2
 MAX_GAP = 24
 BLOCK_TOKENS = 6_000_000
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 600_000
 LONGEST_KEPT = 48
 
 #: White space always parts the tokenizer's words, so each run of other characters can be encoded on its own.
 _CHUNK = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
 
+#: Texts of Latin characters alone (below U+0130) are composed already, and their words can be cut here as the tokenizer's own pattern does it.
+_BEYOND = re.compile("[^\x00-\u012f]").search
+_OF = {kind: "".join(re.escape(chr(c)) for c in range(0x130) if unicodedata.category(chr(c))[0] == kind) for kind in "LN"}
+_SPACE = r" \t\n\x0b\x0c\r\x85\xa0"
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_OF['L']}]+|[{_OF['N']}]|[^{_SPACE}{_OF['L']}{_OF['N']}]+").findall
+
 
 class WordEncoder:
-    """Ids of whole texts; those of short words are kept in a bounded table."""
+    """Ids of whole texts; those of short words are kept in bounded tables.
+
+    Latin texts are lower-cased and cut into words here, and each new word goes straight to the model. All other texts go
+    through the whole tokenizer, one run of non-space characters at a time.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,19 +58,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.table: dict[str, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.shown = {b: c for b, c in byte_characters().items() if chr(b) != c}
+        self.tables: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CHUNK(t) for t in texts]
+    def _encode(self, cut: list[list[str]], which: int) -> list[bytes]:
         wanted = set().union(*cut)
-        if len(self.table) + len(wanted) > TABLE_ENTRIES:
-            self.table = {}
-        new = sorted(wanted.difference(self.table))
-        done = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        self.table.update((w, v) for w, v in done.items() if len(w) <= LONGEST_KEPT)
-        held = self.table if all(len(w) <= LONGEST_KEPT for w in new) else self.table | done
+        table = self.tables[which]
+        if len(table) + len(wanted) > TABLE_ENTRIES:
+            table.clear()
+        new = sorted(wanted.difference(table))
+        if which:
+            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        else:  # the model reads bytes as characters
+            found = self.model.encode_batch_fast([w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.shown) for w in new], add_special_tokens=False)
+        done = {w: array("I", e.ids).tobytes() for w, e in zip(new, found)}
+        table.update((w, v) for w, v in done.items() if len(w) <= LONGEST_KEPT)
+        held = table if all(len(w) <= LONGEST_KEPT for w in new) else table | done
         return [b"".join(map(held.__getitem__, words)) for words in cut]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        beyond = [bool(_BEYOND(t)) for t in texts]
+        for which, cut in enumerate((lambda t: _CUT(t.lower()), _CHUNK)):
+            own = [k for k, b in enumerate(beyond) if b == bool(which)]
+            for k, ids in zip(own, self._encode([cut(texts[k]) for k in own], which) if own else ()):
+                out[k] = ids
+        return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each file and worker process; its tables serve all tasks of the process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
 
 class RoomTree:
     """Open windows by remaining capacity: a segment tree whose nodes count the windows below them."""
@@ -162,7 +200,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or WordEncoder(tokenizer_path(vocabulary, folder))
+            encoder = encoder or word_encoder(tokenizer_path(vocabulary, folder))
             id_type = batch.column(0).type
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end
