@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Five transducers read the words of a clause from left to right. *Insult* is a trie of stems with weights, learned from labels: whole words, or beginnings of words,
-that toxic training documents hold far more often than others. *Threat*, *target*, *negation* and *reported speech* are
+that toxic training documents hold far more often than others, chosen greedily by evidence so that a common beginning stands for all its words. *Threat*, *target*, *negation* and *reported speech* are
 short word lists. Composed, they form one machine whose state is (target seen, words since a negation, reported); it
 weighs each insult or threat by the state it is read in, so a clause scores more when aimed at someone and less
 when denied or quoted. A document's score comes from its matched clauses by logistic regression.
 
 Labels are learned from at most ``SAMPLE_ROWS`` labelled documents with the smallest hash of their id (a documented bound);
-every text is scored whole. Ids, languages and sources are no inputs. Null text has no clauses; null labels are not
+every text is scored whole. Near copies in the sample teach once: of labelled texts with one label and one min-hash of their
+word triples, only the first counts when stems are weighed. Ids, languages and sources are no inputs. Null text has no clauses; null labels are not
 used; without labels of both classes every score is the share of toxic labels (0.5 without any). Repeated rows are scored
 each on its own. Other columns are not read.
 """
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.materialise import materialise
 from .common import map_arrow, slim, split_remainder
 
 TOXIC_FROM = 0.7
 SAMPLE_ROWS = 12_000
-#: Stems: at least this many toxic documents, this log-odds weight, and at most this many stems.
-STEM_DOCS, STEM_WEIGHT, STEMS = 5, 1.5, 3000
+#: Stems: at least this many toxic documents, this log-odds weight and evidence, out of at most this many candidates.
+STEM_DOCS, STEM_WEIGHT, STEM_EVIDENCE, STEMS = 5, 1.5, 25.0, 3000
 STEM_LENGTHS = range(3, 11)
 
 THREAT = frozenset("kill killing murder hurt stab shoot destroy beat burn tuer frapper töten schlagen umbringen matar golpear".split())
@@ -67,10 +69,10 @@ class Grammar:
                 self.kept[word] = w
         return w
 
-    def clause(self, words: list[str]) -> tuple[float, int]:
-        """Total weight and number of matches of one clause."""
+    def clause(self, words: list[str]) -> tuple[float, dict[str, float]]:
+        """Total weight of one clause, and the weights of its different matched words."""
         aimed = any(w in TARGET for w in words)
-        reported, since, total, matches = False, DENIAL_REACH + 1, 0.0, 0
+        reported, since, total, matched = False, DENIAL_REACH + 1, 0.0, {}
         for w in words:
             since += 1
             if w in NEGATION:
@@ -79,28 +81,81 @@ class Grammar:
                 reported = True
             out = self.output(w)
             if out and (aimed or w not in THREAT):  # a threat needs a target
-                total += out * (AIMED if aimed else 1.0) * (DENIED if since <= DENIAL_REACH else 1.0) * (QUOTED if reported else 1.0)
-                matches += 1
-        return total, matches
+                out *= (AIMED if aimed else 1.0) * (DENIED if since <= DENIAL_REACH else 1.0) * (QUOTED if reported else 1.0)
+                total += out
+                matched[w] = max(matched.get(w, 0.0), out)
+        return total, matched
 
     def features(self, text: str) -> list[float]:
         lower = text.lower()
         words = _WORDS(lower)
         if not any(map(self.output, words)):
             return [0.0] * FEATURES
-        scored = [self.clause(_WORDS(c)) for c in _CLAUSES(lower)]
-        hit = [(s, m) for s, m in scored if m]
-        total, matches = sum(s for s, _ in hit), sum(m for _, m in hit)
-        return [min(total, 60.0), max((s for s, _ in hit), default=0.0), float(min(matches, 30)), total / np.sqrt(len(words))]
+        best: dict[str, float] = {}
+        highest = 0.0
+        for clause in _CLAUSES(lower):
+            total, matched = self.clause(_WORDS(clause))
+            highest = max(highest, total)
+            for w, x in matched.items():
+                best[w] = max(best.get(w, 0.0), x)
+        total = sum(best.values())  # a word repeated counts once
+        return [min(total, 60.0), min(highest, 30.0), float(min(len(best), 30)), total / np.sqrt(len(words))]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = self.model[0] + (x / self.model[1 + FEATURES :]) @ self.model[1 : 1 + FEATURES]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _stems_of(text: str) -> set[str]:
-    words = set(_WORDS(text.lower()))
-    return {w for w in words if len(w) < 40 and len(w) > 2} | {w[:k] + "*" for w in words for k in STEM_LENGTHS if k < len(w)}
+def _forms_of(text: str) -> Counter:
+    """How many different words of the text are this word ("word") or begin so ("begin*")."""
+    out: Counter = Counter()
+    for w in set(_WORDS(text.lower())):
+        if 2 < len(w) < 40:
+            out[w] += 1
+        out.update(w[:k] + "*" for k in STEM_LENGTHS if k < len(w))
+    return out
+
+
+def _chosen(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Stems with weights: again and again the one of largest evidence (count times log-odds), without what the chosen ones below it hold already.
+
+    counts: of each form, how often toxic and clean documents hold it; toxic, clean: words in all.
+    """
+    left, stems = dict(counts), {}
+
+    def rate(s: str) -> tuple[float, float]:
+        t, c = left[s]
+        w = float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))) if t > 0 else 0.0
+        return t * w, w
+
+    rated = {s: rate(s) for s in left}
+    while rated:
+        s = max(rated, key=lambda x: (rated[x][0], x))
+        gain, w = rated[s]
+        if gain < STEM_EVIDENCE:
+            break
+        if w < STEM_WEIGHT:
+            del rated[s]
+            continue
+        stems[s] = w
+        t, c = left[s]
+        body = s.rstrip("*")
+        for x in [x for x in rated if x == s or (s.endswith("*") and x.rstrip("*").startswith(body))]:
+            del rated[x]
+        for k in STEM_LENGTHS:  # what is left of its beginnings
+            x = body[:k] + "*"
+            if k <= len(body) and x in rated:
+                left[x] = (left[x][0] - t, left[x][1] - c)
+                rated[x] = rate(x)
+    return stems
+
+
+def _signature(text: str) -> int:
+    """Min-hash of the text's word triples; near copies mostly share it."""
+    import xxhash
+
+    words = _WORDS(text.lower())
+    return min((xxhash.xxh64_intdigest(" ".join(t)) for t in zip(words, words[1:], words[2:])), default=xxhash.xxh64_intdigest(" ".join(words))) >> 1
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> np.ndarray:
@@ -126,40 +181,42 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_
         ids = ids.where(use)
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = slim(docs, "doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "toxic")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    rows = materialise(rows)  # the sample: the corpus is read once for it
+
+    def sign():
+        def step(batch):
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([_signature(t or "") for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "toxic", "sign"])
+
+        return step
+
+    first = map_arrow(rows, sign, "doc_id long, toxic int, sign long").groupBy("toxic", "sign").agg(F.min("doc_id").alias("_first"))
+    teaching = rows.join(F.broadcast(first.select("_first")), F.col("doc_id") == F.col("_first"), "left_semi")  # at most sample_rows ids
 
     def count(batches):
-        seen = (Counter(), Counter())
+        seen, docs_with = (Counter(), Counter()), Counter()
         for batch in batches:
             for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                seen[y].update(_stems_of(text or ""))
-                seen[y][""] += 1  # documents
+                forms = _forms_of(text or "")
+                forms[""] = sum(n for f, n in forms.items() if not f.endswith("*"))  # all words
+                seen[y].update(forms)
+                if y:
+                    docs_with.update(forms.keys())
             if len(seen[0]) > 1_000_000:
-                yield flush(seen)
-                seen = (Counter(), Counter())
+                yield flush(seen, docs_with)
+                seen, docs_with = (Counter(), Counter()), Counter()
         if seen[0] or seen[1]:
-            yield flush(seen)
-
-    def flush(seen):
-        stems = list(seen[0] | seen[1])
-        return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([s[k] for k in stems], pa.int64()) for s in (seen[1], seen[0]))], ["stem", "t", "c"])
-
-    counts = rows.mapInArrow(count, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= STEM_DOCS)
-    n = F.col("stem") == ""
-    weight = lambda t, c, nt, nc: np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
-    # the toxic share is a constant of the ranking, so one job gives both the sums and the stems
-    ratio = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) * F.sqrt("t")
-    top = counts.orderBy(n.desc(), ratio.desc(), "stem").limit(STEMS + 1).collect()
-    nt, nc = next(((r.t, r.c) for r in top if r.stem == ""), (0, 0))
-    found = {r.stem: (r.t, weight(r.t, r.c, nt, nc)) for r in top if r.stem}
-    found = {s: v for s, v in found.items() if v[1] >= STEM_WEIGHT}
-    # of a word and its beginnings, the longest form that keeps nine tenths of the documents
-    longest: dict[str, int] = {}
-    for s, (t, _) in found.items():
-        body = s.rstrip("*")
-        for k in STEM_LENGTHS:
-            if k < len(body) or (k == len(body) and not s.endswith("*")):
-                longest[body[:k] + "*"] = max(longest.get(body[:k] + "*", 0), t)
-    stems = {s: w for s, (t, w) in found.items() if longest.get(s, 0) < 0.9 * t}
+            yield flush(seen, docs_with)
+
+    def flush(seen, docs_with):
+        forms = list(seen[0] | seen[1])
+        return pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), *(pa.array([s[k] for k in forms], pa.int64()) for s in (seen[1], seen[0], docs_with))], ["form", "t", "c", "d"])
+
+    counts = teaching.mapInArrow(count, "form string, t long, c long, d long").groupBy("form").agg(*(F.sum(x).alias(x) for x in "tcd"))
+    words = F.col("form") == ""
+    evidence = F.col("t") * F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))
+    top = counts.where(words | (F.col("d") >= STEM_DOCS)).orderBy(words.desc(), evidence.desc(), "form").limit(STEMS + 1).collect()
+    toxic, clean = next(((r.t, r.c) for r in top if r.form == ""), (0, 0))
+    stems = _chosen({r.form: (r.t, r.c) for r in top if r.form}, toxic, clean)
     grammar = Grammar(stems)
     model = docs.sparkSession.sparkContext.broadcast(grammar)  # STEMS stems at most
 
@@ -177,19 +234,19 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_
 
 
 def judge(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held_out: int = 1) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_matches."""
+    """One row per document: doc_id, held_out, score, predicted, n_matched (different matched words)."""
     model = df.sparkSession.sparkContext.broadcast(grammar)
 
     def make():
         def step(batch):
             x = np.array([model.value.features(t or "") for t in batch.column(1).to_pylist()], float)
             p = model.value.probability(x)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= TOXIC_FROM).astype(np.int32)), pa.array(x[:, 2].astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_matches"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= TOXIC_FROM).astype(np.int32)), pa.array(x[:, 2].astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_matched"])
 
         return step
 
     rows = slim(df, id_col, text_col).withColumn("held_out", split_remainder(F.col("doc_id"), modulus) == held_out)
-    return map_arrow(rows, make, f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, score double, predicted int, n_matches long")
+    return map_arrow(rows, make, f"doc_id {dict(df.dtypes)[id_col]}, held_out boolean, score double, predicted int, n_matched long")
 
 
 def learnable(modulus: int = 3, held_out: int = 1) -> Column:

@@ -87,7 +87,7 @@ def test_toxicity_states():
     plain, aimed, denied, quoted = (g.clause(w.split())[0] for w in ("an idiot here", "you idiot", "not an idiot", "he said idiot"))
     assert denied < plain < aimed and quoted < aimed
     assert g.clause("they will kill".split())[0] > 0 == g.clause("to kill".split())[0]
-    assert g.clause(["moronic"]) == (2.0, 1)
+    assert g.clause(["moronic"]) == (2.0, {"moronic": 2.0})
 
 
 def test_toxicity_odd_rows(spark):
