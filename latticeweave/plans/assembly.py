@@ -165,9 +165,9 @@ def cut_holes(domain: Domain, points: DataFrame, overlap: DataFrame, options: Op
 
 def valid_overlap(domain: Domain, points: DataFrame, overlap: DataFrame) -> DataFrame:
     """Overlap rows whose cell has only active corners."""
-    corners = corners_of(overlap, domain.meta, domain.dims).join(points.select(*POINT, has(F.col("flags"), S.ACTIVE).alias("_a")), POINT)
-    names = overlap.columns
-    return corners.groupBy(names).agg(F.bool_and("_a").alias("_all")).where("_all").select(names)
+    corners = corners_of(overlap.select(*KEY, "ci", "cj", "ck"), domain.meta, domain.dims).join(points.select(*POINT, has(F.col("flags"), S.ACTIVE).alias("_a")), POINT)
+    whole = corners.groupBy(KEY).agg(F.bool_and("_a").alias("_all")).where("_all").select(KEY)
+    return overlap.join(whole, KEY, "left_semi")
 
 
 def outer_fringe(domain: Domain, points: DataFrame, options: Options) -> DataFrame:
@@ -200,6 +200,25 @@ def overlap_volumes(domain: Domain, overlap: DataFrame, volumes: DataFrame) -> D
     return corners.join(volumes, POINT).groupBy(KEY).agg(F.sum(weight * F.col("volume")).alias("donor_volume"))
 
 
+def coarser(rows: DataFrame, volumes: DataFrame, donor_volumes: DataFrame) -> DataFrame:
+    """Overlap rows whose point is coarser than what m offers there."""
+    names = rows.columns
+    rated = rows.join(donor_volumes, KEY, "left").join(volumes.select(F.col("grid_id").alias("n"), *(F.col(a).alias(f"n{a}") for a in IJK), "volume"), ["n", "ni", "nj", "nk"], "left")
+    return rated.where(F.col("volume") > COARSER * F.col("donor_volume")).select(names)
+
+
+def settle_mutual(domain: Domain, overlap: DataFrame, pairwise: DataFrame, mutual: list[tuple[int, int]]) -> DataFrame:
+    """Pairs that occlude each other where coarser: first those with n > m by what their partners hold, then the others by what the first left."""
+    for upper in (True, False) if mutual else ():
+        now = domain.spark.createDataFrame([p for p in mutual if (p[1] > p[0]) == upper], "m int, n int")
+        of_pair = overlap.join(F.broadcast(now), ["m", "n"], "left_semi")
+        theirs = swap(pairwise)  # is a corner of the donor cell occluded by n?
+        touched = corners_of(of_pair.select(*KEY, "ci", "cj", "ck"), domain.meta, domain.dims).join(theirs, ["m", "n", *POINT], "left_semi").select(KEY).distinct()
+        kept = receivers_side(of_pair.join(touched, KEY, "left_anti"))
+        pairwise = materialise(pairwise.join(F.broadcast(now), ["m", "n"], "left_anti").unionByName(kept))
+    return pairwise if mutual else materialise(pairwise)
+
+
 def occlusion(domain: Domain, points: DataFrame, overlap: DataFrame, valid: DataFrame, volumes: DataFrame, donor_volumes: DataFrame, fringe: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     """Pairwise occlusion (m, n, point of n) after padding, and the points occluded by any grid after smoothing."""
     spark, meta = domain.spark, domain.meta
@@ -210,24 +229,11 @@ def occlusion(domain: Domain, points: DataFrame, overlap: DataFrame, valid: Data
         return none, none.select(POINT)
     table = spark.createDataFrame([(*p, k) for p, k in kinds.items()], "m int, n int, occludes string")
     # the overlap that counts: valid rows (the mask of later stages), with a coarser point for COARSE
-    rated = valid.select(*KEY, "ci", "cj", "ck").join(F.broadcast(table), ["m", "n"]).join(donor_volumes, KEY, "left")
-    rated = rated.join(volumes.select(F.col("grid_id").alias("n"), *(F.col(a).alias(f"n{a}") for a in IJK), "volume"), ["n", "ni", "nj", "nk"], "left")
-    first = rated.where((F.col("occludes") == "ALL") | (F.col("volume") > COARSER * F.col("donor_volume")))
+    every = valid.join(F.broadcast(table), ["m", "n"])
+    names = valid.columns
+    first = every.where("occludes = 'ALL'").select(names).unionByName(coarser(every.where("occludes = 'COARSE'").select(names), volumes, donor_volumes))
     mutual = [p for p, k in kinds.items() if k == "COARSE" and kinds.get(p[::-1]) == "COARSE"]
-    pairwise = receivers_side(first)
-    if mutual:
-        every = receivers_side(overlap)
-        for upper in (True, False):  # pairs with n > m first, then the others by what the first left
-            now = spark.createDataFrame([p for p in mutual if (p[1] > p[0]) == upper], "m int, n int")
-            of_pair = overlap.join(F.broadcast(now), ["m", "n"], "left_semi")
-            # is a corner of the donor cell occluded by n?
-            theirs = swap(pairwise)
-            touched = corners_of(of_pair.select(*KEY, "ci", "cj", "ck"), meta, domain.dims).join(theirs, ["m", "n", *POINT], "left_semi").select(KEY).distinct()
-            kept = receivers_side(of_pair.join(touched, KEY, "left_anti"))
-            pairwise = materialise(pairwise.join(F.broadcast(now), ["m", "n"], "left_anti").unionByName(kept))
-        del every
-    else:
-        pairwise = materialise(pairwise)
+    pairwise = settle_mutual(domain, overlap, receivers_side(first), mutual)
     # padding: points whose donor cell touches what m must not give
     occluding = spark.createDataFrame([(m, n, options.pair("edge_padding", m, n), kinds.get((n, m)) is not None) for m, n in kinds], "m int, n int, _far int, _back boolean")
     rim = F.broadcast(occluding.withColumn("grid_id", F.col("m")))
