@@ -225,3 +225,22 @@ def overlap_curvilinear_2d(spark, sf_dir):
     """The turned background, moved by 1/32 so that no point lies on an edge, as a curvilinear grid: containment by triangles, local coordinates by the cubic inverse."""
     found = _moved(spark, sf_dir, S.CURVILINEAR, "i - j + 20.03125D", "i + j - 12")
     return found.withColumn("u", F.round("u", 6)).withColumn("v", F.round("v", 6))
+
+
+@query("""WITH d AS (SELECT l_partkey % 3 + 1 AS m, l_orderkey * 8 + l_linenumber AS id, l_partkey % 40 AS ci, l_suppkey % 30 AS cj FROM lineitem)
+SELECT m::INT AS m, (o_orderkey % 3 + 1)::INT AS n, (o_custkey % 24)::INT AS ni, (o_orderkey % 20)::INT AS nj, ci::INT AS begin_i, (ci + 2)::INT AS end_i, (cj + 1)::INT AS end_j FROM d JOIN orders ON o_orderkey * 8 + 1 = id""")
+def import_connectivity_match(spark, sf_dir):
+    """Donor and receiver records, as a connectivity file holds them, matched by connection id."""
+    from ..sources.connectivity import match
+
+    ids = F.expr("l_orderkey * 8 + l_linenumber").alias("connection_id")
+    one, w = F.lit(0.5), F.array(F.lit(0.5), F.lit(0.5))
+    donors = table(spark, sf_dir, "lineitem").select(
+        F.expr("cast(l_partkey % 3 + 1 as int)").alias("grid_id"), ids, F.expr("array(cast(l_partkey % 40 as int), cast(l_suppkey % 30 as int), 0)").alias("begin"), F.expr("array(2, 1, 1)").alias("size"),
+        one.alias("u"), one.alias("v"), one.alias("w"), F.array(w, F.array(F.lit(1.0)), F.array(F.lit(1.0))).alias("coefs"),
+    )
+    receivers = table(spark, sf_dir, "orders").select(
+        F.expr("cast(o_orderkey % 3 + 1 as int)").alias("grid_id"), F.expr("o_orderkey * 8 + 1").alias("connection_id"), F.expr("cast(o_custkey % 24 as int)").alias("ni"), F.expr("cast(o_orderkey % 20 as int)").alias("nj"), F.lit(0).alias("nk"),
+    )
+    made = match(donors, receivers)
+    return made.select("m", "n", "ni", "nj", F.col("begin")[0].alias("begin_i"), F.col("end")[0].alias("end_i"), F.col("end")[1].alias("end_j"))
