@@ -5,7 +5,8 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 TOLERANCE, STEPS = 1e-12, 100
@@ -21,6 +22,23 @@ def _basis(u: np.ndarray, cubic: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(w, 1), np.stack(s, 1)
 
 
+def _solve(a: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Determinants and solutions of many small systems, by Cramer's rule."""
+    d = a.shape[1]
+    if d == 1:
+        det = a[:, 0, 0]
+        top = r
+    elif d == 2:
+        det = a[:, 0, 0] * a[:, 1, 1] - a[:, 0, 1] * a[:, 1, 0]
+        top = np.stack([r[:, 0] * a[:, 1, 1] - a[:, 0, 1] * r[:, 1], a[:, 0, 0] * r[:, 1] - r[:, 0] * a[:, 1, 0]], 1)
+    else:
+        cross = np.cross(a[:, :, 1], a[:, :, 2])
+        det = (a[:, :, 0] * cross).sum(axis=1)
+        top = np.stack([(r * cross).sum(axis=1), (a[:, :, 0] * np.cross(r, a[:, :, 2])).sum(axis=1), (a[:, :, 0] * np.cross(a[:, :, 1], r)).sum(axis=1)], 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return det, top / det[:, None]
+
+
 def invert(nodes: np.ndarray, points: np.ndarray, cubic: bool) -> np.ndarray:
     """Local coordinates (rows, d) of points in cells with nodes (rows, n^d, d), first direction fastest; NaN where the steps don't settle."""
     rows, d = points.shape
@@ -43,30 +61,32 @@ def invert(nodes: np.ndarray, points: np.ndarray, cubic: bool) -> np.ndarray:
         small = np.sqrt((error**2).sum(axis=1)) <= TOLERANCE
         done[k[small]] = True
         jacobian = np.stack(sums[1:], axis=2)
-        det = np.linalg.det(jacobian)
+        det, solved = _solve(jacobian, error)
         bad = ~np.isfinite(det) | (det == 0)
         alive[k[bad & ~small]] = False
         go = ~small & ~bad
-        local[k[go]] += np.linalg.solve(jacobian[go], error[go][:, :, None])[:, :, 0]
+        local[k[go]] += solved[go]
         alive[k] &= np.isfinite(local[k]).all(axis=1)
     local[~done] = np.nan
     return local
 
 
 def inverse_udf(dims: int, cubic: bool):
-    """Pandas UDF (flat nodes array<double>, point array<double>) -> local coordinates array<double>, null where there are none."""
+    """Arrow UDF (flat nodes array<double>, point array<double>) -> local coordinates array<double>, null where there are none."""
     count = (4 if cubic else 2) ** dims
 
-    @F.pandas_udf("array<double>")
-    def local(nodes: pd.Series, point: pd.Series) -> pd.Series:
-        ok = np.array([n is not None and p is not None and len(n) == count * dims and len(p) == dims for n, p in zip(nodes, point)], bool)
-        out = pd.Series([None] * len(nodes), dtype=object)
-        if ok.any():
-            at = np.flatnonzero(ok)
-            found = invert(np.stack([np.asarray(nodes.iloc[i], float) for i in at]).reshape(len(at), count, dims), np.stack([np.asarray(point.iloc[i], float) for i in at]), cubic)
-            for i, row in zip(at, found):
-                out.iloc[i] = None if np.isnan(row).any() else row.tolist()
-        return out
+    @F.arrow_udf("array<double>")
+    def local(nodes: pa.Array, point: pa.Array) -> pa.Array:
+        fits = pc.and_kleene(pc.equal(pc.list_value_length(nodes), count * dims), pc.equal(pc.list_value_length(point), dims))
+        ok = pc.fill_null(fits, False)
+        at = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
+        flat = lambda x: pc.fill_null(pc.list_flatten(x.filter(ok)), float("nan")).to_numpy(zero_copy_only=False).astype(float)
+        found = invert(flat(nodes).reshape(len(at), count, dims), flat(point).reshape(len(at), dims), cubic)
+        good = ~np.isnan(found).any(axis=1)
+        held = np.zeros(len(nodes), bool)
+        held[at[good]] = True
+        ends = np.r_[0, np.cumsum(held) * dims].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found[good].ravel()), mask=pa.array(~held))
 
     return local
 
