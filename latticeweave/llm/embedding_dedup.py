@@ -254,3 +254,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rest = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same links by DuckDB: every pair within a label, then all that is reachable (for its small tables).
+ORACLE_SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+good AS (SELECT vec_id, label, v FROM e WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= {THRESHOLD}),
+reach AS (SELECT a AS vec_id, a AS root FROM pair UNION SELECT p.b, r.root FROM reach r JOIN pair p ON p.a = r.vec_id),
+named AS (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id), linked AS (SELECT a AS vec_id, count(*) AS n FROM pair GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, e.vec_id) AS component_id, coalesce(coalesce(root, e.vec_id) = e.vec_id, true) AS kept
+FROM e LEFT JOIN named ON named.vec_id = e.vec_id LEFT JOIN linked ON linked.vec_id = e.vec_id
+"""

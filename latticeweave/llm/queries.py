@@ -51,4 +51,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_sharding, op6_byte_bpe, op7_simhash, op8_embedding_dedup, op9_toxicity, op10_lm_score)}
-ORACLE_SQL: dict[str, str] = {"op5_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter.ORACLE_SQL, "op5_sharding": sharding.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}

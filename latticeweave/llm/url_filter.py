@@ -139,3 +139,26 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     parts = parts.select("page_id", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), F.regexp_extract(path, r"\A[^?#]*", 0).alias("path"))
     kind = dict(df.dtypes)[id_col]
     return map_arrow(parts, make, f"page_id {kind}, host string, path string, rule string, verdict string, pattern string")
+
+
+def _regex(glob: str) -> str:
+    """A glob as a regular expression over the whole URL."""
+    import re
+
+    return "(?s)" + re.escape(glob).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace("'", "''")
+
+
+def _rules_sql(rows: list[tuple[str, str, str]]) -> str:
+    return ", ".join(f"({k}, '{verdict}', '{name}', '{_regex(glob)}', {len(name)})" for k, (verdict, name, glob) in enumerate(rows))
+
+
+#: The same verdicts by DuckDB, a regular expression for each glob.
+ORACLE_SQL = f"""
+WITH base(k, verdict, name, expr, size) AS (VALUES {_rules_sql(base_globs())}), extra(k, verdict, name, expr, size) AS (VALUES {_rules_sql([(v, g, g) for v, g in EXTRA_GLOBS])}),
+r AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM r),
+u AS (SELECT page_id, host, regexp_extract(tail, '^[^?#]*') AS path FROM h),
+b AS (SELECT u.*, (SELECT struct_pack(name := name, verdict := verdict) FROM base WHERE regexp_full_match(host || path, expr) ORDER BY size DESC, k LIMIT 1) AS one,
+  (SELECT struct_pack(name := name, verdict := verdict) FROM extra WHERE regexp_full_match(host || path, expr) ORDER BY size DESC, k LIMIT 1) AS two FROM u)
+SELECT page_id, host, path, one.name AS rule, coalesce(one.verdict, two.verdict, 'allow') AS verdict, CASE WHEN one IS NULL THEN two.name END AS pattern FROM b
+"""
