@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .materialise import materialise
 
 FALSE, TRUE, MIRROR = "FALSE", "TRUE", "MIRROR"
 IJK = ["i", "j", "k"]
@@ -171,15 +172,23 @@ def numbered(points: DataFrame, meta: DataFrame) -> DataFrame:
 
 def components(values: DataFrame, meta: DataFrame) -> DataFrame:
     """Components of equal value over dense points (grid_id, i, j, k, value): adds label, from 0 on in each grid in the order of their first points."""
-    from pyspark.sql import Window
-
     nodes = numbered(values, meta)
     single = _with_meta(nodes, meta).where(~(_last_twin("i") | _last_twin("j") | _last_twin("k"))).select(nodes.columns)
     tied = connected_components(neighbour_edges(single, meta, ["value"]))
     rooted = single.join(tied, "node", "left").select(*values.columns, F.coalesce("component", "node").alias("root"))
-    # components are numbered by a small table of roots, one row each
-    roots = rooted.select("grid_id", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("grid_id").orderBy("root")) - 1)
-    return with_twins(rooted.join(roots, ["grid_id", "root"]).drop("root"), meta)
+    return with_twins(rooted.join(_ranked(rooted.select("grid_id", "root").distinct()), ["grid_id", "root"]).drop("root"), meta)
+
+
+def _ranked(roots: DataFrame) -> DataFrame:
+    """label: the place of each root among its grid's, from 0 on. Roots are dealt by range and numbered within their part; parts' counts give the rest."""
+    from pyspark.sql import Window
+
+    parts = materialise(roots.repartitionByRange("grid_id", "root").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("grid_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    counts = parts.groupBy("grid_id", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("grid_id", "_part").orderBy("root")) - 1
+    out = parts.withColumn("_within", within).join(counts.select("grid_id", "_part", "_before"), ["grid_id", "_part"])
+    return out.select("grid_id", "root", (F.col("_before") + F.col("_within")).cast("int").alias("label"))
 
 
 def flood(seeds: DataFrame, barrier: DataFrame, meta: DataFrame) -> DataFrame:
