@@ -36,6 +36,9 @@ SPLIT = 256
 #: Above this many classes in one bucket, neighbours are enumerated and looked up; below, classes are compared with each other.
 ENUMERATE = 200_000
 
+#: Members of the front whose neighbours are looked up at once.
+FRONT = 64
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 
@@ -97,12 +100,12 @@ def _viable(x: np.ndarray, segment: np.ndarray | int, distance: int) -> np.ndarr
     return keep
 
 
-def _large_bucket(fp: np.ndarray, segment: int, distance: int) -> np.ndarray:
-    """Pieces of one bucket of sorted distinct fingerprints: a search outwards, so that no list of pairs is made."""
+def _large_bucket(fp: np.ndarray, segment: int, distance: int, above: int | None = None) -> np.ndarray:
+    """Pieces of one bucket of distinct fingerprints in unsigned order: a search outwards, so that no list of pairs is made."""
     n = len(fp)
     label = np.full(n, -1)
     flips = None
-    if n > ENUMERATE:
+    if n > (ENUMERATE if above is None else above):
         free = [_U(1) << _U(k) for k in range(64) if k // 16 != segment]
         flips = np.array([np.bitwise_or.reduce(c) for d in range(1, distance + 1) for c in combinations(free, d)], _U)
         flips = flips[_viable(flips, segment, distance)]
@@ -113,9 +116,14 @@ def _large_bucket(fp: np.ndarray, segment: int, distance: int) -> np.ndarray:
         label[first], front = first, np.array([first])
         while len(front):
             if flips is not None:
-                near = np.unique(np.concatenate([(fp[f] ^ flips) for f in front]))
-                at = np.minimum(np.searchsorted(fp, near), n - 1)
-                found = at[(fp[at] == near) & (label[at] < 0)]
+                found = []
+                for k in range(0, len(front), FRONT):
+                    near = np.unique(fp[front[k : k + FRONT], None] ^ flips)
+                    at = np.minimum(np.searchsorted(fp, near), n - 1)
+                    at = at[(fp[at] == near) & (label[at] < 0)]
+                    label[at] = first
+                    found.append(at)
+                found = np.concatenate(found)
             else:
                 rest = rest[label[rest] < 0]
                 near = np.zeros(len(rest), bool)
@@ -127,8 +135,8 @@ def _large_bucket(fp: np.ndarray, segment: int, distance: int) -> np.ndarray:
     return label
 
 
-def _bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(src, dst) for whole buckets, sorted by key and fingerprint."""
+def _bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int, above: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(src, dst) for whole buckets, sorted by key; fp are signed longs."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     segment = (key >> np.int64(40)) & np.int64(3)
@@ -145,10 +153,11 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: in
         b.append(i + shift)
     for g in np.flatnonzero(sizes > 64):
         s, e = starts[g], starts[g] + sizes[g]
-        label = _large_bucket(fp[s:e], int(segment[s]), distance)
+        order = s + np.argsort(fp[s:e])
+        label = _large_bucket(fp[order], int(segment[s]), distance, above)
         tied = np.flatnonzero(label != np.arange(e - s))
-        a.append(s + label[tied])
-        b.append(s + tied)
+        a.append(order[label[tied]])
+        b.append(order[tied])
     if not a:
         return rep[:0], rep[:0]
     a, b = np.concatenate(a), np.concatenate(b)
@@ -175,6 +184,7 @@ def links_of(classes: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -
     # 16 bits of next, 4 bits of k, 16 bits of s, 2 bits of i and the mark of the finer deal make one key
     rows = rows.select(F.expr("k0 | (m & ((1L << 42) | 65535L)) | ((m & (15L << 16)) << 4)").alias("key"), "fp", "rep")
     rows = rows.repartition("key").sortWithinPartitions("key", "fp")
+    above = ENUMERATE
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -192,10 +202,10 @@ def links_of(classes: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -
             cut = np.searchsorted(now[0], last, side="left")
             held, held_parts = [now[0][cut:]], [[x[cut:] for x in now]]
             if cut:
-                src, dst = _bucket_links(*(x[:cut] for x in now), distance)
+                src, dst = _bucket_links(*(x[:cut] for x in now), distance, above)
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
         if held:
-            src, dst = _bucket_links(*(np.concatenate(x) for x in zip(*held_parts)), distance)
+            src, dst = _bucket_links(*(np.concatenate(x) for x in zip(*held_parts)), distance, above)
             yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
     return rows.mapInArrow(run, "src long, dst long")

@@ -137,3 +137,12 @@ def test_links_by_enumeration(spark, monkeypatch):
     a = simhash._large_bucket(same, 1, 3)
     monkeypatch.setattr(simhash, "ENUMERATE", 10**9)
     assert np.array_equal(a, simhash._large_bucket(same, 1, 3))
+
+
+def test_links_by_enumeration_of_both_signs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ENUMERATE", 64)
+    rng = random.Random(7)
+    # one bucket of both signs; pairs differ once in each of the other segments, so that only this bucket joins them
+    fps = [rng.getrandbits(48) << 16 | 5 for _ in range(150)]
+    fps += [f ^ (1 << 20) ^ (1 << 40) ^ (1 << rng.choice([50, 63])) for f in fps]
+    check_links(spark, fps, split=10**9)
