@@ -1,17 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting: tokens, then pairs of neighbouring tokens, are counted over all training documents. A pair can only reach
-the least frequency kept if both its tokens do, so pairs with a rarer token are not counted at all.
+Counting: tokens, then all pairs of neighbouring tokens, are counted over all training documents; no count is too small to be kept.
 
-The filter: a pair of count c is entered once for each level 1..q, where level q means c >= least * base^(q-1). A
-probe asks for level 1, 2, ... until one is missing; the last level found gives the (lower) quantised count. The least
-count kept is N / ``ENTRIES`` (N: training tokens), so at most ``ENTRIES`` pairs are kept and at most ENTRIES / (1 - 1/base)
-items entered, whatever the size of the corpus: that is the proven bound on what is broadcast (about 10 MB). The
-frequent tokens' exact counts, at most ``ENTRIES`` of them, go along; the counts of all others are joined by shuffle.
+Frequent tokens are the ``ENTRIES`` most frequent at most (all that reach one count); their places and exact counts are broadcast.
+Whether a token is among them only tells where it is looked up, never what the model gives.
 
-The model: P(w | u) = (q(u, w) + (c(u) - K(u) + MU) * P(w)) / (c(u) + MU), with the quantised count q(u, w) from the filter and its
-sum K(u) over the pairs kept, so it is a distribution over w; P(w) comes from exact counts of frequent tokens, and all other tokens,
-seen or not, share their mass evenly. A document begins in the context of the end token.
+The filter holds the pairs of two frequent tokens: a pair of count c is entered once for each level 1..q, where level q means
+c >= base^(q-1). A probe asks for level 1, 2, ... until one is missing; the last level found gives the (lower) quantised count. The
+filter grows with the distinct pairs. It is never gathered: it is split by key into parts, as many as the training tokens ask for, and
+blocks of the documents' pairs are dealt to the parts by shuffle. Pairs with a rarer token are joined by shuffle with their counts, quantised alike.
+
+The model: P(w | u) = (q(u, w) + (c(u) - K(u) + MU) * P(w)) / (c(u) + MU), with the quantised count q(u, w) and its sum K(u) over
+all w, so it is a distribution over w; P(w) comes from exact counts. A document begins in the context of the end token.
 
 Null text counts as empty (the end token alone). Null ids count as empty text for the split. Repeated rows are
 counted and scored each on its own. Without training documents all counts are zero. Other columns are not read.
@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..operators.materialise import materialise
+from ..operators.materialise import discard, materialise
 from .common import as_bytes, map_arrow, short_batches, slim, split_remainder
 
 ENTRIES = 1 << 20  # no more: places of frequent tokens have 20 bits
@@ -36,6 +38,14 @@ BITS_PER_ITEM = 14
 PROBES = 7
 MU = 20.0
 SEGMENTS = 64
+#: Training tokens for each part of the filter, once there are more parts than ``SEGMENTS``.
+PART_TOKENS = 1 << 23
+#: Bits that any part has: in very small parts false positives would be common.
+LEAST_BITS = 4096
+#: Places of tokens in one slot, when sums over the parts are put together.
+SLOT = 1 << 15
+#: Documents in one block: their numbers have 16 bits.
+BLOCK_DOCS = 1 << 16
 #: Tokens that a task gathers before it counts them, and words that its table holds.
 BLOCK_TOKENS = 3_000_000
 TABLE_ENTRIES = 600_000
@@ -57,6 +67,11 @@ def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (u.astype(_U) << _U(20)) | w.astype(_U)
 
 
+def rare_pair_keys(u: np.ndarray, w: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of the hashes of two tokens that aren't both frequent: negative as longs, and -2^62 or more where the first is frequent."""
+    return (mix(mix(u) + w) >> _U(2)) | (_U(1) << _U(63)) | (known.astype(_U) << _U(62))
+
+
 class WordTable(dict):
     """Numbers words as they come; for each number the word's hash and its place and count among the frequent tokens (count 0: not among them)."""
 
@@ -93,8 +108,8 @@ class WordTable(dict):
         return out, begins
 
 
-def _count(texts: DataFrame, frequent=None) -> DataFrame:
-    """(key, n): counts of tokens, or, given the frequent tokens, of pairs of them."""
+def _count(texts: DataFrame) -> DataFrame:
+    """(key, n): counts of tokens."""
 
     def run(batches):
         table, held, size = None, [], 0
@@ -108,13 +123,9 @@ def _count(texts: DataFrame, frequent=None) -> DataFrame:
             if not batch.num_rows:
                 continue
             if table is None:
-                table = WordTable(*(frequent.value if frequent else (np.zeros(0, _U), np.zeros(0, np.int64))))
-            numbers, begins = table.numbers(as_bytes(batch.column(0)))
+                table = WordTable(np.zeros(0, _U), np.zeros(0, np.int64))
+            numbers, _ = table.numbers(as_bytes(batch.column(0)))
             h = table.hash[numbers]
-            if frequent:
-                before = _contexts(numbers, begins, table)
-                both = (table.count[numbers] > 0) & (table.count[before] > 0)
-                h = pair_keys(table.place[before[both]], table.place[numbers[both]])
             held.append(h)
             size += len(h)
             if size >= BLOCK_TOKENS:
@@ -127,6 +138,53 @@ def _count(texts: DataFrame, frequent=None) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+_PAIRS = "part long, key long, u long, n long, data array<binary>"
+
+
+def _count_pairs(texts: DataFrame, frequent, parts: int) -> DataFrame:
+    """Counts by block of texts. Pairs of frequent tokens are packed, one row for each part (n: how many keys).
+    Pairs with a rare token have rows of their own, without a part; u is the first token's place or (if rare) hash."""
+    schema = to_arrow_schema(StructType.fromDDL(_PAIRS))
+
+    def run(batches):
+        table, held, rare, size = None, [], [], 0
+
+        def counted():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            key, ends, n = _by_part(key, parts, n)
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                k, c = key[ends[p] : ends[p + 1]], n[ends[p] : ends[p + 1]]
+                yield pa.RecordBatch.from_pylist([{"part": p, "n": len(k), "data": [_pack(np.diff(k, prepend=_U(0))), _pack(c.astype("<u4"))]}], schema=schema)
+            keys, us = (np.concatenate(x) for x in zip(*rare))
+            key, at, n = np.unique(keys, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(us[at]), pa.array(n), pa.nulls(len(key), schema.field("data").type)], schema=schema)
+            held.clear()
+            rare.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if table is None:
+                table = WordTable(*frequent.value)
+            numbers, begins = table.numbers(as_bytes(batch.column(0)))
+            before = _contexts(numbers, begins, table)
+            known = table.count[before] > 0
+            both = known & (table.count[numbers] > 0)
+            held.append(pair_keys(table.place[before[both]], table.place[numbers[both]]))
+            one = np.flatnonzero(~both)
+            u, known = before[one], known[one]
+            rare.append((rare_pair_keys(table.hash[u], table.hash[numbers[one]], known), np.where(known, table.place[u], table.hash[u].view(np.int64))))
+            size += len(numbers)
+            if size >= BLOCK_TOKENS:
+                yield from counted()
+                size = 0
+        if held:
+            yield from counted()
+
+    short_batches(texts.sparkSession)
+    return texts.mapInArrow(run, _PAIRS)
+
+
 def _contexts(numbers: np.ndarray, begins: np.ndarray, table: WordTable) -> np.ndarray:
     """The number of the token before each; before the first word of a text stands the end token."""
     before = np.empty_like(numbers)
@@ -139,15 +197,19 @@ def levels_of(n: np.ndarray, least: int) -> np.ndarray:
     return 1 + np.floor(np.log(n / least) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def _quantised():
+    return F.pow(F.lit(BASE), _level(1) - 1)
+
+
 def _level(least: int):
     return F.floor(F.log(F.col("n") / F.lit(least)) / F.lit(math.log(BASE)) + 1e-9) + 1
 
 
 class LogFrequencyFilter:
-    """Bits in SEGMENTS parts; an item (key, level) has PROBES places, all in its key's part."""
+    """Bits in parts; an item (key, level) has PROBES places, all in its key's part."""
 
     def __init__(self, bits: np.ndarray, least: int):
-        self.bits, self.least = bits, least  # bits: (SEGMENTS, bytes)
+        self.bits, self.least = bits, least  # bits: (parts, bytes), or one part alone
 
     @staticmethod
     def places(key: np.ndarray, level: int | np.ndarray, probe: int, width: int) -> np.ndarray:
@@ -156,12 +218,12 @@ class LogFrequencyFilter:
         return ((a & _U(0xFFFFFFFF)) + _U(probe) * b) % _U(width)
 
     def _has(self, key: np.ndarray, level: int) -> np.ndarray:
-        width = self.bits.shape[1] * 8
+        parts, width = _U(len(self.bits)), self.bits.shape[1] * 8
         alive = np.arange(len(key))
         for probe in range(PROBES):
             k = key[alive]
             at = self.places(k, level, probe, width)
-            alive = alive[(self.bits[(k % _U(SEGMENTS)).astype(np.int64), (at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
+            alive = alive[(self.bits[(k % parts).astype(np.int64), (at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
         return alive
 
     def counts(self, key: np.ndarray) -> np.ndarray:
@@ -174,36 +236,132 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(pairs: DataFrame, least: int) -> LogFrequencyFilter:
-    """From (key, n), every n >= least. Each part's bits are set by the tasks that hold its keys, then put together."""
-    spark = pairs.sparkSession
-    items = pairs.agg(F.sum(_level(least))).first()[0] or 0
-    width = 8 * math.ceil(items * BITS_PER_ITEM / SEGMENTS / 8 * 1.1)  # a part may hold a little more than its share
-    bits = np.zeros((SEGMENTS, width // 8), np.uint8)
-    if not items:
-        return LogFrequencyFilter(bits, least)
+def part_bits(key: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """The bits of a part of the filter that holds these keys at all levels that their counts reach."""
+    top = levels_of(n, least)
+    width = max(LEAST_BITS, 8 * math.ceil(int(top.sum()) * BITS_PER_ITEM / 8))
+    bits = np.zeros(width // 8, np.uint8)
+    for s in range(0, len(key), 1 << 18):
+        t = top[s : s + (1 << 18)]
+        k = np.repeat(key[s : s + (1 << 18)], t)
+        level = np.arange(1, len(k) + 1) - np.repeat(np.cumsum(t) - t, t)
+        for probe in range(PROBES):
+            at = LogFrequencyFilter.places(k, level, probe, width)
+            for bit in range(8):
+                bits[(at[(at & _U(7)) == bit] >> _U(3)).astype(np.int64)] |= 1 << bit
+    return bits
 
-    def run(batches):
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            key, n = (c.to_numpy() for c in batch.columns)
-            key, level = key.view(_U), levels_of(n, least)
-            part = (key % _U(SEGMENTS)).astype(np.int64)
-            for p in np.unique(part).tolist():
-                own = parts.setdefault(p, np.zeros(width // 8, np.uint8))
-                k, top = np.repeat(key[part == p], level[part == p]), level[part == p]
-                at_level = np.concatenate([np.arange(1, t + 1) for t in top])
-                for probe in range(PROBES):
-                    at = LogFrequencyFilter.places(k, at_level, probe, width)
-                    np.bitwise_or.at(own, (at >> _U(3)).astype(np.int64), (1 << (at & _U(7)).astype(np.uint8)).astype(np.uint8))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([b.tobytes() for b in parts.values()], pa.binary())], ["part", "bits"])
 
-    short_batches(spark)
-    dealt = pairs.select("key", "n").repartition(SEGMENTS, F.pmod("key", F.lit(SEGMENTS)))
-    for row in dealt.mapInArrow(run, "part int, bits binary").toLocalIterator():  # a part may come from any task
-        bits[row.part] |= np.frombuffer(bytes(row.bits), np.uint8)
-    return LogFrequencyFilter(bits, least)
+def build_filter(pairs: DataFrame, least: int) -> LogFrequencyFilter:
+    """From (key, n), every n >= least: a filter of one part, on the driver."""
+    found = pairs.where(F.col("n") >= least).toPandas()
+    return LogFrequencyFilter(part_bits(found["key"].to_numpy(np.int64).view(_U), found["n"].to_numpy(np.int64), least)[None], least)
+
+
+def _merge(batches):
+    """From packed counts sorted by part: each part's bits (slot -1), and the quantised counts' sums by first token (packed, by slot of places)."""
+    schema = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("data", pa.list_(pa.binary()))])
+    now, held = None, []
+
+    def merged():
+        key, n = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[first], np.add.reduceat(n, first, dtype=np.int64)
+        yield pa.RecordBatch.from_pylist([{"part": now, "slot": -1, "data": [part_bits(key, n, 1).tobytes()]}], schema=schema)
+        u = (key >> _U(20)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        u, q = u[first], np.add.reduceat(BASE ** (levels_of(n, 1) - 1), first)
+        for s in np.unique(u // SLOT).tolist():
+            a, b = np.searchsorted(u, [s * SLOT, (s + 1) * SLOT])
+            yield pa.RecordBatch.from_pylist([{"part": now, "slot": s, "data": [u[a:b].astype("<i4").tobytes(), q[a:b].astype("<f8").tobytes()]}], schema=schema)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["part"] != now and held:
+                yield from merged()
+            now = r["part"]
+            held.append((np.cumsum(_unpack(r["data"][0], r["n"], "<u8"), dtype=_U), _unpack(r["data"][1], r["n"], "<u4")))
+    if held:
+        yield from merged()
+
+
+_MERGED = "part long, slot long, data array<binary>"
+
+
+def _slot_sums(batches):
+    """Sums of a slot over all parts; rows are sorted by slot."""
+    now, sums = None, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["slot", "sums"])
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["slot"] != now:
+                if now is not None:
+                    yield row()
+                now, sums = r["slot"], np.zeros(SLOT)
+            u, q = np.frombuffer(r["data"][0], "<i4"), np.frombuffer(r["data"][1], "<f8")
+            sums[u - now * SLOT] += q  # each token once in a row
+    if now is not None:
+        yield row()
+
+
+def _packed_rows(batches):
+    """Keys and counts of a task as bytes, some thousands a row."""
+    held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    for s in range(0, len(held), 100):
+        key, n = (np.concatenate(x) for x in zip(*held[s : s + 100]))
+        yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["key", "n"])
+
+
+def _by_part(key: np.ndarray, parts: int, other: np.ndarray):
+    """Sorted keys dealt to parts, still sorted within each, where each part begins, and what goes with the keys."""
+    part = (key % _U(parts)).astype(np.int16 if parts < 1 << 15 else np.int64)
+    order = np.argsort(part, kind="stable")
+    return key[order], np.searchsorted(part[order], np.arange(parts + 1)), other[order]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as bytes, the first bytes of all first, so that small ones take little room."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
+
+
+def _blocks(held: list, block: int, docs: int, parts: int):
+    """Rows of one block, one for each part: its distinct keys (differences of the sorted), how often each comes, and the documents it comes in."""
+    key, doc = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(key)
+    key, ends, doc = _by_part(key[order], parts, doc[order])
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        k, d = key[ends[p] : ends[p + 1]], doc[ends[p] : ends[p + 1]]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        times = np.diff(np.r_[first, len(k)]).astype("<u4")
+        yield {"part": p, "kind": 1, "block": block, "size": docs, "n": [len(first), len(k)], "data": [_pack(np.diff(k[first], prepend=_U(0))), _pack(times), _pack(d)]}
+
+
+def _least_frequent(tokens: DataFrame, total: int, entries: int) -> int:
+    """The least count that makes a token frequent: as small as it can be with ``entries`` tokens at most."""
+    enough = max(1, math.ceil(total / entries))  # total / enough <= entries tokens at most have this count
+    left, out = entries, enough
+    for n, kinds in sorted(map(tuple, tokens.groupBy(F.least("n", F.lit(enough)).alias("n")).count().collect()), reverse=True):
+        left -= kinds
+        if left < 0:
+            break
+        out = n
+    return out
+
+
+_TAIL = "key long, u long, w long, u_count long, u_kept double, w_count long"
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held_out: int = 1, entries: int = ENTRIES, mu: float = MU) -> DataFrame:
@@ -213,60 +371,150 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
     train = docs.where("not held").select("text")
     tokens = materialise(_count(train))
     total, kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, math.ceil(total / entries))
-    # at most total / least <= entries rows
-    known = tokens.where(F.col("n") >= least).toPandas().sort_values("key")
-    keys = known["key"].to_numpy(np.int64).view(_U)
+    common = _least_frequent(tokens, total, entries)
+    short_batches(spark)
+    known = [(np.frombuffer(r.key, _U), np.frombuffer(r.n, np.int64)) for r in tokens.where(F.col("n") >= common).select("key", "n").mapInArrow(_packed_rows, "key binary, n binary").toLocalIterator()]
+    keys, counts = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, _U), np.zeros(0, np.int64))
     order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], known["n"].to_numpy(np.int64)[order]))
-    pairs = materialise(_count(train, frequent).where(F.col("n") >= least))
-    held = spark.sparkContext.broadcast(build_filter(pairs, least))
-    mass = np.zeros(len(keys), np.float32)  # K(u)
-    sums = pairs.groupBy(F.shiftright("key", 20).alias("u")).agg(F.sum(least * F.pow(F.lit(BASE), _level(least) - 1)).alias("k")).toPandas()
-    mass[sums["u"].to_numpy(np.int64)] = sums["k"].to_numpy(np.float32)
-    kept = spark.sparkContext.broadcast(mass)
-    rare_kinds, rare_total = kinds - len(known), total - int(known["n"].sum())
+    frequent = spark.sparkContext.broadcast((keys[order], counts[order]))
+    parts = max(SEGMENTS, math.ceil(total / PART_TOKENS))
+    packed = materialise(_count_pairs(train, frequent, parts))
+    pairs = materialise(packed.where("part is null").groupBy("key").agg(F.max("u").alias("u"), F.sum("n").alias("n")))  # those with a rare token
+    merged = materialise(packed.where("part is not null").select("part", "n", "data").repartition("part").sortWithinPartitions("part").mapInArrow(_merge, _MERGED))
+    filters = merged.where("slot < 0")
+    mass = np.zeros(len(keys) + SLOT)  # K(u)
+    for r in merged.where("slot >= 0").repartition("slot").sortWithinPartitions("slot", "part").mapInArrow(_slot_sums, "slot long, sums binary").toLocalIterator():
+        x = mass[r.slot * SLOT : (r.slot + 1) * SLOT]
+        x += np.frombuffer(r.sums, float)[: len(x)]
+    of_known = pairs.where(F.col("key") >= -(1 << 62)).groupBy("u").agg(F.sum(_quantised()).alias("k"))
+    for r in of_known.mapInArrow(_packed_rows, "key binary, n binary").toLocalIterator():
+        mass[np.frombuffer(r.key, np.int64)] += np.frombuffer(r.n, float)
+    kept = spark.sparkContext.broadcast(mass[: len(keys)])
+    discard(packed)
     whole = total + 0.5 * (kinds + 1)
-    p_rare = (rare_total / (rare_kinds + 1) + 0.5) / whole
 
-    def run(batches):
-        table, row = None, TaskContext.get().partitionId() << 33
+    def cut(batches):
+        """Documents, each with its pairs of rare tokens, and blocks of the other pairs."""
+        table, task, block, held, size, row = None, TaskContext.get().partitionId() << 33, 0, [], 0, 0
+
+        def rows(found):
+            return pa.RecordBatch.from_pylist(found, schema=schema)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = WordTable(*frequent.value) if table is None else table
+            if size >= BLOCK_TOKENS or row + batch.num_rows > BLOCK_DOCS:
+                for found in _blocks(held, task + block, row, parts) if size else ():
+                    yield rows([found])
+                block, held, size, row = block + 1, [], 0, 0
             numbers, begins = table.numbers(as_bytes(batch.column(1)))
             before = _contexts(numbers, begins, table)
-            c = table.count[numbers]
+            c, context = table.count[numbers], table.count[before]
             head = c > 0
-            context = table.count[before]
-            p = np.where(head, (c + 0.5) / whole, p_rare)
-            both = np.flatnonzero(head & (context > 0))
-            joint = np.zeros(len(numbers))
-            joint[both] = np.minimum(held.value.counts(pair_keys(table.place[before[both]], table.place[numbers[both]])), np.minimum(c[both], context[both]))
-            rest = np.where(context > 0, np.maximum(context - kept.value[table.place[before]], 0), 0) if len(keys) else 0
-            model = np.log10((joint + (rest + mu) * p) / (context + mu))
+            both = head & (context > 0)
+            doc = np.repeat(np.arange(row, row + batch.num_rows, dtype="<u2"), np.diff(begins))
+            held.append((pair_keys(table.place[before[both]], table.place[numbers[both]]), doc[both]))
+            size += int(both.sum())
             base = np.where(head, np.log10((c + 0.5) / whole), 0.0)
-            sums = [np.add.reduceat(x, begins[:-1]) for x in (head.astype(np.int64), base, model)]
-            rare = np.flatnonzero(~head)
-            ends = np.searchsorted(rare, begins).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(table.hash[numbers[rare]].view(np.int64)))
-            ids = np.arange(row, row + batch.num_rows)
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), batch.column(0), batch.column(2), pa.array(np.diff(begins)), *map(pa.array, sums), tail],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
-            )
+            sums = [np.add.reduceat(x, begins[:-1]) for x in (head.astype(np.int64), base)]
+            rare = np.flatnonzero(~both)
+            u, w = before[rare], numbers[rare]
+            there = context[rare] > 0
+            k = np.where(there, kept.value[table.place[u]], 0.0) if len(kept.value) else np.zeros(len(rare))
+            key = rare_pair_keys(table.hash[u], table.hash[w], there)
+            tail = [key.view(np.int64), table.hash[u].view(np.int64), table.hash[w].view(np.int64), context[rare], k, c[rare]]
+            ends = pa.array(np.searchsorted(rare, begins).astype(np.int32))
+            tail = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x) for x in tail], names=names))
+            n = batch.num_rows
+            own = {
+                "part": pa.array(np.arange(row, row + n) % parts), "kind": pa.array(np.full(n, 2, np.int32)), "block": pa.array(np.full(n, task + block)), "size": pa.array(np.arange(row, row + n)),
+                "doc_id": batch.column(0), "held_out": batch.column(2), "n_tokens": pa.array(np.diff(begins)), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "tail": tail,
+            }
+            yield pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else pa.nulls(n, f.type) for f in schema], schema=schema)
+            row += n
+        if size:
+            for found in _blocks(held, task + block, row, parts):
+                yield rows([found])
+
+    def probe(batches):
+        """Each block's pairs against their part of the filter, whose bits come first: the block's documents' sums. Documents pass."""
+        now, bits = None, None
+        n, k = frequent.value[1], kept.value
+        for batch in batches:
+            rest = batch.filter(pa.array(batch.column("kind").to_numpy() == 2))
+            if rest.num_rows:
+                yield rest
+            if rest.num_rows == batch.num_rows:
+                continue
+            for r in batch.filter(pa.array(batch.column("kind").to_numpy() < 2)).to_pylist():
+                if r["part"] != now:
+                    now, bits = r["part"], np.zeros(0, np.uint8)
+                if r["kind"] == 0:
+                    bits = np.frombuffer(r["data"][0], np.uint8)
+                    continue
+                key = np.cumsum(_unpack(r["data"][0], r["n"][0], "<u8"), dtype=_U)
+                times, doc = _unpack(r["data"][1], r["n"][0], "<u4"), _unpack(r["data"][2], r["n"][1], "<u2")
+                u, w = (key >> _U(20)).astype(np.int64), (key & _U((1 << 20) - 1)).astype(np.int64)
+                joint = np.minimum(LogFrequencyFilter(bits[None], 1).counts(key), np.minimum(n[u], n[w]))
+                model = np.log10((joint + (np.maximum(n[u] - k[u], 0) + mu) * ((n[w] + 0.5) / whole)) / (n[u] + mu))
+                sums = np.bincount(doc, np.repeat(model, times), minlength=r["size"])
+                yield pa.RecordBatch.from_pylist([{"part": now, "kind": 1, "block": r["block"], "size": r["size"], "data": [sums.astype("<f8").tobytes()]}], schema=schema)
+
+    def gather(batches):
+        """Sums of all parts, which come first, given to the block's documents."""
+        now, sums, row = None, None, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            kind, block, size = (batch.column(c).to_numpy() for c in ("kind", "block", "size"))
+            starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])]) if len(block) else []
+            for s, e in zip(starts, [*starts[1:], len(block)]):
+                if block[s] != now:
+                    now, sums = block[s], np.zeros(BLOCK_DOCS)
+                if kind[s] == 1:
+                    for data in batch.column("data").slice(s, e - s).to_pylist():
+                        x = np.frombuffer(data[0], "<f8")
+                        sums[: len(x)] += x
+                    continue
+                own = batch.slice(s, e - s)
+                score = sums[size[s:e]]
+                ids = np.arange(row, row + e - s)
+                row += e - s
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(own.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(score), own.column("tail")], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
 
-    short_batches(spark)
     kind = dict(df.dtypes)[id_col]
-    scored = materialise(docs.select("doc_id", "text", "held").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>"))
-    rare = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    found = rare.join(tokens.where(F.col("n") < least), "key", "left").select(
+    names = [f.split()[0] for f in _TAIL.split(", ")]
+    tail_type = "array<struct<" + ", ".join(f.replace(" ", ": ") for f in _TAIL.split(", ")) + ">>"
+    wire = f"part long, kind int, block long, size long, n array<long>, data array<binary>, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, tail {tail_type}"
+    schema = to_arrow_schema(StructType.fromDDL(wire))
+    stream = docs.select("doc_id", "text", "held").mapInArrow(cut, wire)
+    bits = filters.select("part", F.lit(0).alias("kind"), "data")
+    probed = stream.unionByName(bits, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(probe, wire)
+    scored = materialise(
+        probed.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(gather, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail {tail_type}")
+    )
+    discard(merged)
+    # pairs with a rare token: a count below 0 is unknown here, and joined; the other rows are spread by the pair's key, which no token has
+    rare_kept = pairs.where(F.col("key") < -(1 << 62)).groupBy("u").agg(F.sum(_quantised()).alias("k"))
+    rare = tokens.where(F.col("n") < common).join(rare_kept, F.col("key") == F.col("u"), "left").select(F.col("key").alias("h"), "n", F.coalesce("k", F.lit(0.0)).alias("k"))
+    tail = scored.select("row", F.inline("tail"))
+    tail = tail.join(rare.select(F.col("h").alias("at_w"), F.col("n").alias("n_w")), F.when(F.col("w_count") > 0, F.col("key")).otherwise(F.col("w")) == F.col("at_w"), "left")
+    tail = tail.join(rare.select(F.col("h").alias("at_u"), F.col("n").alias("n_u"), "k"), F.when(F.col("u_count") > 0, F.col("key")).otherwise(F.col("u")) == F.col("at_u"), "left")
+    tail = tail.join(pairs.select("key", _quantised().alias("q")), "key", "left")
+    zero = F.lit(0)
+    tail = tail.select(
+        "row",
+        (F.col("w_count") == 0).alias("own"),
+        F.when(F.col("w_count") > 0, F.col("w_count")).otherwise(F.coalesce("n_w", zero)).alias("w"),
+        F.when(F.col("u_count") > 0, F.col("u_count")).otherwise(F.coalesce("n_u", zero)).alias("u"),
+        F.when(F.col("u_count") > 0, F.col("u_kept")).otherwise(F.coalesce("k", F.lit(0.0))).alias("k"),
+        F.coalesce("q", F.lit(0.0)).alias("q"),
+    ).withColumn("p", (F.col("w") + 0.5) / F.lit(float(whole)))
+    found = tail.select(
         "row",
-        F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("n_known"),
-        (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(whole)))).alias("base_score"),
+        F.when(F.col("own") & (F.col("w") > 0), 1).otherwise(0).cast("long").alias("n_known"),
+        F.when(F.col("own"), F.log10("p")).otherwise(0.0).alias("base_score"),
+        F.log10((F.col("q") + (F.greatest(F.col("u") - F.col("k"), F.lit(0.0)) + mu) * F.col("p")) / (F.col("u") + mu)).alias("score"),
     )
     lines = scored.drop("tail").unionByName(found, allowMissingColumns=True)
-    out = lines.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "score")), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"))
+    out = lines.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base_score", "score")))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -124,6 +124,26 @@ def test_language_model_counts(spark, entries):
     assert lm_score.score(df.where("doc_id = 1")).count() == 1
 
 
+@pytest.mark.parametrize("entries", [lm_score.ENTRIES, 4, 1])
+def test_language_model_keeps_all_counts(spark, entries):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(0, 25)))) for i in range(120)]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), entries=entries).collect()}
+    chains = {i: [b"\n", *t.encode().split(), b"\n"] for i, t in rows}
+    train = [c for i, c in chains.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two, kept = Counter(w for c in train for w in c[1:]), Counter(p for c in train for p in zip(c, c[1:])), Counter()
+    q = {p: lm_score.BASE ** math.floor(math.log(n) / math.log(lm_score.BASE) + 1e-9) for p, n in two.items()}
+    for (u, _), x in q.items():
+        kept[u] += x
+    whole = sum(one.values()) + 0.5 * (len(one) + 1)
+
+    def p(u, w):
+        return (q.get((u, w), 0) + (max(one[u] - kept[u], 0) + lm_score.MU) * (one[w] + 0.5) / whole) / (one[u] + lm_score.MU)
+
+    for i, c in chains.items():
+        assert abs(got[i].score - sum(math.log10(p(*x)) for x in zip(c, c[1:]))) < 1e-6
+
+
 def test_bloom_filter_levels(spark):
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 2**63, 3000)
