@@ -46,10 +46,11 @@ _CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_OF['L']}]+|[{_OF['N']}]|[^{_SPACE
 
 
 class WordEncoder:
-    """Ids of whole texts; those of short words are kept in bounded tables.
+    """Ids of whole texts, as the library's plain call gives them; those of short words are kept in bounded tables.
 
     Latin texts are lower-cased and cut into words here, and each new word goes straight to the model. All other texts go
-    through the whole tokenizer, one run of non-space characters at a time.
+    through the whole tokenizer, one run of non-space characters at a time. Texts that hold the name of one of the vocabulary's own
+    tokens (which the plain call turns into that token's id) go to the whole tokenizer in one piece.
     """
 
     def __init__(self, path: str):
@@ -57,7 +58,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.named = re.compile("|".join(names) or "(?!)", re.IGNORECASE).search
         self.model = Tokenizer(self.tokenizer.model)
         self.shown = {b: c for b, c in byte_characters().items() if chr(b) != c}
         self.tables: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -79,9 +81,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        beyond = [bool(_BEYOND(t)) for t in texts]
+        whole = [k for k, t in enumerate(texts) if self.named(t)]
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False) if whole else ()):
+            out[k] = array("I", e.ids).tobytes()
+        beyond = [None if out[k] else bool(_BEYOND(t)) for k, t in enumerate(texts)]
         for which, cut in enumerate((lambda t: _CUT(t.lower()), _CHUNK)):
-            own = [k for k, b in enumerate(beyond) if b == bool(which)]
+            own = [k for k, b in enumerate(beyond) if b is bool(which)]
             for k, ids in zip(own, self._encode([cut(texts[k]) for k in own], which) if own else ()):
                 out[k] = ids
         return out
