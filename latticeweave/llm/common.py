@@ -31,7 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """The session's Arrow batches get BATCH_ROWS rows at most. Every operator here asks for the same, so plans that run later get it, too; a smaller choice of the caller's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def split_remainder(doc_id: Column, modulus: int) -> Column:
@@ -63,11 +75,20 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def batch_of(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """The rows of df, with all their columns, for whose texts (bytes, None for null) the function of ``make()`` says True.
 
+    Verdict and row stay together: nothing is joined, so null or repeated ids and columns of any name do no harm.
+    """
+    at = df.columns.index(text_col)
 
-def offsets_of(lengths: list[int]) -> np.ndarray:
-    out = np.zeros(len(lengths) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=out[1:])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = None
+        for batch in batches:
+            if batch.num_rows:
+                test = test or make()
+                texts = batch.column(at)
+                yield batch.filter(pa.array(test(as_bytes(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))), pa.bool_()))
+
+    short_batches(df.sparkSession)
+    return df.mapInArrow(run, df.schema)

@@ -67,9 +67,9 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 40, dept
                 (low if monotone[j] > 0 else high)[right] = middle
             node[rows] = np.where(code[rows, j] > cut, right, left)
         for leaf in range(leaves):
-            rows = node == inner + leaf
             k = inner + leaf
-            value[t, leaf] = rate * np.clip(g[rows].sum() / (h[rows].sum() + l2), low[k], high[k]) if rows.any() else rate * np.clip(0.0, low[k], high[k])
+            rows = node == k
+            value[t, leaf] = rate * np.clip(g[rows].sum() / (h[rows].sum() + l2), low[k], high[k])
         score += value[t][node - inner]
     return Forest(feature, threshold, value, bias)
 

@@ -5,7 +5,8 @@ their id, a documented parameter); counts and verdicts cover every whole text. S
 shares of symbols, repeated lines or repeated words (monotonic constraints).
 
 Null text has no words; documents under ``min_words`` words fail. Null labels are not used; without labels of both
-classes the trees say "keep". Repeated rows are judged each on its own. Other columns are not read.
+classes the trees say "keep". Repeated rows are judged each on its own; very long texts are counted whole; an empty table gives an
+empty result; ids may be of any type; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import as_bytes, map_arrow, slim
+from .common import as_bytes, keep_rows, map_arrow, slim
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -86,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Trees from at most ``sample_rows`` labelled documents, whose features alone come to the driver."""
     ids = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "quality")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
+    rows = slim(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
 
     def make():
         def step(batch):
@@ -95,11 +96,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
         return step
 
-    sample = map_arrow(rows, make, "doc_id long, x array<double>, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample_rows).collect()
+    sample = map_arrow(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, x array<double>, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample_rows).collect()
     x = np.array([r.x for r in sample], float).reshape(len(sample), len(FEATURES))
     return gbt.fit(x, np.array([r.y for r in sample], float), [s for _, s in FEATURES])
 
 
+def keep(df: DataFrame, forest: gbt.Forest, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, whose text is kept."""
+    model = df.sparkSession.sparkContext.broadcast(forest)
+
+    def make():
+        def test(texts):
+            rows = [counts_of(t or b"") for t in texts]
+            counts = np.array([c for c, _ in rows], np.int64)
+            return ~base_failed(counts[:, 0], counts[:, 4]) & (model.value.probability(np.array([f for _, f in rows], float)) >= KEEP_FROM)
+
+        return test
+
+    return keep_rows(df, text_col, make)
+
+
 def judge(df: DataFrame, forest: gbt.Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the five counts, base_failed, kept, score (the chance to be of good quality)."""
     spark = df.sparkSession
