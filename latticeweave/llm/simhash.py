@@ -12,8 +12,9 @@ the first two, 2 in three, 3 in four. So:
    link for each of its classes (to the least class of its piece), never all pairs.
 4. Links are joined to components in rounds (operators.components).
 
-Null text counts as empty: it has the fingerprint zero, like any text without words. Null ids have no component.
-Repeated rows fall into one class. An empty table gives an empty result; other columns are not read.
+Null text counts as empty: it has the fingerprint zero, like any text without words. Classes are known by their fingerprints, so ids
+may be of any type and null: rows without an id have no component_id, but link others like any row. Very long texts are hashed whole.
+Repeated rows fall into one class. An empty table gives an empty result; other columns are not read (keep_first hands them on).
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.components import connected_components
 from ..operators.materialise import materialise
-from .common import as_bytes, map_arrow, slim
+from .common import as_bytes, fresh, map_arrow, short_batches, slim
 
 DISTANCE = 3
 SHINGLE = 3
@@ -76,6 +78,20 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_arrow(slim(df, id_col, text_col), make, f"doc_id {dict(df.dtypes)[id_col]}, fp long")
 
 
+def with_fingerprint(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df, all columns as they are, and the fingerprint as a signed long in one more column: the last."""
+    at, name = df.columns.index(text_col), fresh(df, "fp")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                fp = np.array([fingerprint(t or b"") for t in as_bytes(batch.column(at).cast(pa.string()))], _U)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
+
+    short_batches(df.sparkSession)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+
 def _pieces(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least member of each member's piece under the links a-b."""
     label = np.arange(n)
@@ -170,7 +186,12 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: in
 
 
 def links_of(classes: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -> DataFrame:
-    """Links (src, dst) that join all classes (fp, rep) within the distance; rep is a long, fp are distinct."""
+    """Links (src, dst) that join all classes (fp, rep) within the distance; rep is a long, fp are distinct.
+
+    Four segments hold an equal one only for 3 differing bits or fewer, so greater distances are refused.
+    """
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError(f"distance {distance}: an equal segment is sure for 0 to {DISTANCE} differing bits only")
     segment = lambda i: F.shiftrightunsigned("fp", 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
     parts = classes.select("fp", "rep", F.posexplode(F.array(*(segment(i) for i in range(4)))).alias("i", "s")).withColumn(
         "next", F.expr("shiftrightunsigned(fp, 16 * ((i + 1) % 4)) & 65535")
@@ -211,18 +232,33 @@ def links_of(classes: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -
     return rows.mapInArrow(run, "src long, dst long")
 
 
+def _named(classes: DataFrame, distance: int) -> DataFrame:
+    """classes: one row for each fingerprint fp, with its least row rep. The same with the least rep of all that links lead to."""
+    classes = materialise(classes)
+    tied = connected_components(links_of(classes.select("fp", F.col("fp").alias("rep")), distance))
+    met = classes.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "rep", "component")
+    least = met.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    return met.join(least, "component", "left").select("fp", F.coalesce("least", "rep").alias("first"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the least doc_id reachable)."""
     prints = materialise(fingerprints(df, id_col, text_col))
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    tied = connected_components(links_of(classes.where("rep is not null"), distance))
-    named = classes.join(tied, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, "fp")
+    out = prints.join(_named(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), distance), "fp")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return out.select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("component_id"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of df whose id names its component; rows without an id stay."""
-    found = near_duplicates(df, id_col, text_col, distance).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(found, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each component, all columns as they are: that of the least id (null ids last), of several rows of that id the first written.
+
+    Rows are written once with their fingerprints and known by their place in those files, so repeated and null ids do no harm.
+    """
+    held = materialise(with_fingerprint(df, text_col))
+    fp, file, index = held.columns[-1], fresh(held, "_file"), fresh(held, "_index")
+    place = held.metadataColumn("_metadata")
+    held = held.select("*", place["file_name"].alias(file), place["row_index"].alias(index))
+    at = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(file).alias("f"), F.col(index).alias("r"))
+    first = _named(held.select(F.col(fp).alias("fp"), at.alias("at")).groupBy("fp").agg(F.min("at").alias("rep")), distance)
+    first = first.select(F.col("first.f").alias(file), F.col("first.r").alias(index)).distinct()
+    return held.join(first, [file, index], "left_semi").select(df.columns)
