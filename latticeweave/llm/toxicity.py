@@ -1,16 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the words of a clause from left to right. *Insult* is a trie of stems with weights, learned from labels: whole words, or beginnings of words,
-that toxic training documents hold far more often than others, chosen greedily by evidence so that a common beginning stands for all its words. *Threat*, *target*, *negation* and *reported speech* are
-short word lists. Composed, they form one machine whose state is (target seen, words since a negation, reported); it
-weighs each insult or threat by the state it is read in, so a clause scores more when aimed at someone and less
-when denied or quoted. A document's score comes from its matched clauses by logistic regression.
+Each word of a clause becomes one symbol: insult, threat, target, negation, report or other. Insults come from a trie of stems with weights, learned
+from labels: whole words, or beginnings of words, that toxic training documents hold far more often than others, chosen greedily by evidence so that a
+common beginning stands for all its words. The other classes are fixed word lists.
+
+Five transducers rewrite the clause, each a table of weighted arcs (grammar.py): *insult* marks an insult with its weight or
+leaves it unmarked; *threat* marks a threat in a clause with a target, before or after; *target* makes a marked insult an aimed one
+if the clause has a target; *negation* lowers what follows within three words; *reported speech* lowers what follows to the end of the clause. They are composed into
+one machine, and the score of a clause is its best path's weight (max, +); a clause whose matches are all outweighed scores 0.
+
+A document's score comes from its matched clauses by logistic regression: the best one, and the sum and number of different ones.
 
 Labels are learned from at most ``SAMPLE_ROWS`` labelled documents with the smallest hash of their id (a documented bound);
-every text is scored whole. Near copies in the sample teach once: of labelled texts with one label and one min-hash of their
+every text is scored whole, however long. Near copies in the sample teach once: of labelled texts with one label and one min-hash of their
 word triples, only the first counts when stems are weighed. Ids, languages and sources are no inputs. Null text has no clauses; null labels are not
 used; without labels of both classes every score is the share of toxic labels (0.5 without any). Repeated rows are scored
-each on its own. Other columns are not read.
+each on its own. An empty table gives an empty result; ids may be of any type; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,20 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialise import materialise
-from .common import map_arrow, slim, split_remainder
+from . import grammar
+from .common import keep_rows, map_arrow, slim, split_remainder
 
 TOXIC_FROM = 0.7
 SAMPLE_ROWS = 12_000
-#: Stems: at least this many toxic documents, this log-odds weight and evidence, out of at most this many candidates.
-STEM_DOCS, STEM_WEIGHT, STEM_EVIDENCE, STEMS = 5, 1.5, 25.0, 3000
+#: A form is a stem from this many toxic documents, this log-odds weight and this evidence on.
+STEM_DOCS, STEM_WEIGHT, STEM_EVIDENCE = 5, 1.5, 25.0
 STEM_LENGTHS = range(3, 11)
 
+# Fixed word lists.
 THREAT = frozenset("kill killing murder hurt stab shoot destroy beat burn tuer frapper töten schlagen umbringen matar golpear".split())
 TARGET = frozenset("you your yours u he she they him her them tu te toi vous votre du dich dir ihr euch sie tú usted ustedes vosotros".split())
 NEGATION = frozenset("not no never nor isn aren wasn don doesn didn won pas jamais non nicht kein keine nie nunca ni".split())
 REPORTED = frozenset("said says wrote reported quoted called stated told dit écrit sagte schrieb dijo escribió".split())
-AIMED, DENIED, QUOTED, DENIAL_REACH = 1.1, 0.6, 0.6, 3
-THREAT_WEIGHT = 1.0
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _CLAUSES = re.compile(r"[.!?;:,\n]+").split
@@ -51,55 +56,49 @@ class Grammar:
 
     stems: dict[str, float]
     model: np.ndarray | None = None
-    kept: dict[str, float] = field(default_factory=dict)
+    machine: grammar.Machine = field(default_factory=grammar.composed)
+    kept: dict[str, tuple[str, float]] = field(default_factory=dict)
 
     def insult(self, word: str) -> float:
         """The best weight on the trie's path along the word."""
         best = max((self.stems.get(word[:k] + "*", 0.0) for k in STEM_LENGTHS if k <= len(word)), default=0.0)
         return max(best, self.stems.get(word, 0.0))
 
-    def output(self, word: str) -> float:
-        """Weight that the word brings by itself (insult or threat), from a bounded table."""
-        w = self.kept.get(word)
-        if w is None:
+    def symbol(self, word: str) -> tuple[str, float]:
+        """The word's class and its own weight, from a bounded table."""
+        found = self.kept.get(word)
+        if found is None:
             if len(self.kept) > 500_000:
                 self.kept.clear()
-            w = self.insult(word) or (THREAT_WEIGHT if word in THREAT else 0.0)
+            weight = self.insult(word)
+            classes = ((grammar.INSULT, weight > 0), (grammar.THREAT, word in THREAT), (grammar.TARGET, word in TARGET), (grammar.NEGATION, word in NEGATION), (grammar.REPORT, word in REPORTED))
+            found = next((c for c, fits in classes if fits), grammar.OTHER), weight
             if len(word) < 40:
-                self.kept[word] = w
-        return w
-
-    def clause(self, words: list[str]) -> tuple[float, dict[str, float]]:
-        """Total weight of one clause, and the weights of its different matched words."""
-        aimed = any(w in TARGET for w in words)
-        reported, since, total, matched = False, DENIAL_REACH + 1, 0.0, {}
-        for w in words:
-            since += 1
-            if w in NEGATION:
-                since = 0
-            elif w in REPORTED:
-                reported = True
-            out = self.output(w)
-            if out and (aimed or w not in THREAT):  # a threat needs a target
-                out *= (AIMED if aimed else 1.0) * (DENIED if since <= DENIAL_REACH else 1.0) * (QUOTED if reported else 1.0)
-                total += out
-                matched[w] = max(matched.get(w, 0.0), out)
-        return total, matched
+                self.kept[word] = found
+        return found
+
+    def clauses(self, text: str) -> tuple[dict[tuple[str, ...], float], int]:
+        """Scores of the different matched clauses, each known by its marked words, and the number of clauses with a word."""
+        lower, found, n = text.lower(), {}, 0
+        if not any(self.symbol(w)[0] in grammar.MATCHING for w in _WORDS(lower)):
+            return found, n
+        for clause in _CLAUSES(lower):
+            words = _WORDS(clause)
+            n += bool(words)
+            symbols = [self.symbol(w) for w in words]
+            if any(s in grammar.MATCHING for s, _ in symbols):
+                score, tags = self.machine.best(symbols)
+                if score > 0:
+                    key = tuple(w for w, t in zip(words, tags) if t in grammar.MARKED)
+                    found[key] = max(found.get(key, 0.0), score)
+        return found, n
 
     def features(self, text: str) -> list[float]:
-        lower = text.lower()
-        words = _WORDS(lower)
-        if not any(map(self.output, words)):
+        found, n = self.clauses(text)
+        if not found:
             return [0.0] * FEATURES
-        best: dict[str, float] = {}
-        highest = 0.0
-        for clause in _CLAUSES(lower):
-            total, matched = self.clause(_WORDS(clause))
-            highest = max(highest, total)
-            for w, x in matched.items():
-                best[w] = max(best.get(w, 0.0), x)
-        total = sum(best.values())  # a word repeated counts once
-        return [min(total, 60.0), min(highest, 30.0), float(min(len(best), 30)), total / np.sqrt(len(words))]
+        total = sum(found.values())
+        return [max(found.values()), float(np.log1p(total)), float(np.log1p(len(found))), float(np.log1p(total / np.sqrt(n)))]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = self.model[0] + (x / self.model[1 + FEATURES :]) @ self.model[1 : 1 + FEATURES]
@@ -110,7 +109,7 @@ def _forms_of(text: str) -> Counter:
     """How many different words of the text are this word ("word") or begin so ("begin*")."""
     out: Counter = Counter()
     for w in set(_WORDS(text.lower())):
-        if 2 < len(w) < 40:
+        if 2 < len(w):
             out[w] += 1
         out.update(w[:k] + "*" for k in STEM_LENGTHS if k < len(w))
     return out
@@ -159,18 +158,32 @@ def _signature(text: str) -> int:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> np.ndarray:
-    """Bias, weights and scales, by Newton steps; weights of matches are held at zero or above."""
+    """Bias, weights and scales; weights of matches are held at zero or above, by Newton steps in those that may move, halved until they gain."""
     scale = np.maximum(np.abs(x).max(axis=0, initial=0), 1e-9)
     a = np.c_[np.ones(len(x)), x / scale]
     w = np.zeros(a.shape[1])
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    if len(y) and y.min() < y.max():
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-            penalty = np.r_[0, np.full(len(w) - 1, l2)]
-            gradient = a.T @ (y - p) - penalty * w
-            w = w + np.linalg.solve((a.T * (p * (1 - p))) @ a + np.diag(penalty + 1e-9), gradient)
-            w[1:] = np.maximum(w[1:], 0)
+    penalty = np.r_[0, np.full(len(w) - 1, l2)]
+
+    def gain(v):
+        z = a @ v
+        return float((y * z - np.logaddexp(0, z)).sum() - 0.5 * (penalty * v * v).sum())
+
+    for _ in range(100) if len(y) and y.min() < y.max() else ():
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+        slope = a.T @ (y - p) - penalty * w
+        free = np.flatnonzero(np.r_[True, (w[1:] > 0) | (slope[1:] > 0)])
+        curve = (a[:, free].T * (p * (1 - p))) @ a[:, free] + np.diag(penalty[free] + 1e-9)
+        step, held = np.zeros(len(w)), gain(w)
+        step[free] = np.linalg.solve(curve, slope[free])
+        for k in range(40):
+            after = w + step / 2**k
+            after[1:] = np.maximum(after[1:], 0)
+            if gain(after) > held + 1e-9:
+                break
+        else:
+            break
+        w = after
     return np.r_[w, scale]
 
 
@@ -180,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_
     if use is not None:
         ids = ids.where(use)
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = slim(docs, "doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "toxic")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    rows = slim(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
     rows = materialise(rows)  # the sample: the corpus is read once for it
+    kind = dict(rows.dtypes)["doc_id"]
 
     def sign():
         def step(batch):
@@ -189,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_
 
         return step
 
-    first = map_arrow(rows, sign, "doc_id long, toxic int, sign long").groupBy("toxic", "sign").agg(F.min("doc_id").alias("_first"))
+    first = map_arrow(rows, sign, f"doc_id {kind}, toxic int, sign long").groupBy("toxic", "sign").agg(F.min("doc_id").alias("_first"))
     teaching = rows.join(F.broadcast(first.select("_first")), F.col("doc_id") == F.col("_first"), "left_semi")  # at most sample_rows ids
 
     def count(batches):
@@ -211,14 +225,15 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_
         forms = list(seen[0] | seen[1])
         return pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), *(pa.array([s[k] for k in forms], pa.int64()) for s in (seen[1], seen[0], docs_with))], ["form", "t", "c", "d"])
 
-    counts = teaching.mapInArrow(count, "form string, t long, c long, d long").groupBy("form").agg(*(F.sum(x).alias(x) for x in "tcd"))
-    words = F.col("form") == ""
-    evidence = F.col("t") * F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))
-    top = counts.where(words | (F.col("d") >= STEM_DOCS)).orderBy(words.desc(), evidence.desc(), "form").limit(STEMS + 1).collect()
-    toxic, clean = next(((r.t, r.c) for r in top if r.form == ""), (0, 0))
-    stems = _chosen({r.form: (r.t, r.c) for r in top if r.form}, toxic, clean)
-    grammar = Grammar(stems)
-    model = docs.sparkSession.sparkContext.broadcast(grammar)  # STEMS stems at most
+    counts = materialise(teaching.mapInArrow(count, "form string, t long, c long, d long").groupBy("form").agg(*(F.sum(x).alias(x) for x in "tcd")))
+    toxic, clean = next(((r.t, r.c) for r in counts.where("form = ''").collect()), (0, 0))
+    # forms that can become stems (weights only fall when others are taken out of them); the sample is bounded, and so are they
+    weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    able = (F.col("form") != "") & (F.col("d") >= STEM_DOCS) & (weight >= STEM_WEIGHT) & (F.col("t") * weight >= STEM_EVIDENCE)
+    top = counts.where(able).collect()
+    stems = _chosen({r.form: (r.t, r.c) for r in top}, toxic, clean)
+    learned = Grammar(stems)
+    model = docs.sparkSession.sparkContext.broadcast(learned)  # stems of the bounded sample
 
     def make():
         def step(batch):
@@ -227,21 +242,31 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_
 
         return step
 
-    sample = map_arrow(rows, make, "doc_id long, x array<double>, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample_rows).collect()
-    grammar.model = _logistic(np.array([r.x for r in sample], float).reshape(len(sample), FEATURES), np.array([r.y for r in sample], float))
-    grammar.kept.clear()
-    return grammar
+    sample = map_arrow(rows, make, f"doc_id {kind}, x array<double>, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample_rows).collect()
+    learned.model = _logistic(np.array([r.x for r in sample], float).reshape(len(sample), FEATURES), np.array([r.y for r in sample], float))
+    learned.kept.clear()
+    return learned
+
+
+def keep(df: DataFrame, learned: Grammar, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, whose text isn't predicted to be toxic."""
+    model = df.sparkSession.sparkContext.broadcast(learned)
+
+    def make():
+        return lambda texts: model.value.probability(np.array([model.value.features((t or b"").decode()) for t in texts], float)) < TOXIC_FROM
+
+    return keep_rows(df, text_col, make)
 
 
-def judge(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held_out: int = 1) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, n_matched (different matched words)."""
-    model = df.sparkSession.sparkContext.broadcast(grammar)
+def judge(df: DataFrame, learned: Grammar, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, held_out: int = 1) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, n_matched (different matched clauses)."""
+    model = df.sparkSession.sparkContext.broadcast(learned)
 
     def make():
         def step(batch):
             x = np.array([model.value.features(t or "") for t in batch.column(1).to_pylist()], float)
             p = model.value.probability(x)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= TOXIC_FROM).astype(np.int32)), pa.array(x[:, 2].astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_matched"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= TOXIC_FROM).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 2])).astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_matched"])
 
         return step
 
