@@ -83,11 +83,11 @@ def test_toxicity_held_out(spark, sf):
 
 
 def test_toxicity_states():
-    g = toxicity.Grammar({"idiot": 2.0, "moro*": 2.0})
-    plain, aimed, denied, quoted = (g.clause(w.split())[0] for w in ("an idiot here", "you idiot", "not an idiot", "he said idiot"))
-    assert denied < plain < aimed and quoted < aimed
-    assert g.clause("they will kill".split())[0] > 0 == g.clause("to kill".split())[0]
-    assert g.clause(["moronic"]) == (2.0, {"moronic": 2.0})
+    g = toxicity.Grammar({"idiot": 4.0, "moro*": 4.0})
+    plain, aimed, denied, quoted = (sum(g.clauses(w)[0].values()) for w in ("an idiot here", "you idiot", "not an idiot", "it said idiot"))
+    assert denied < plain < aimed and quoted < plain and denied > 0
+    assert g.clauses("they will kill")[0] and not g.clauses("to kill. you")[0]
+    assert g.clauses("moronic") == ({("moronic",): 4.0}, 1) and g.clauses("moronic! moronic")[1] == 2
 
 
 def test_toxicity_odd_rows(spark):

@@ -144,8 +144,7 @@ def test_packing_pieces(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
-    texts = odd_texts(4) + ["word " * n for n in (4094, 4095, 4096, 8191, 9000)]
+    texts = odd_texts(4) + ["x <|endoftext|> y"] + ["word " * n for n in (4094, 4095, 4096, 8191, 9000)]
     rows = packing.pack(frame(spark, texts).repartition(2), with_ids=True).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -190,7 +189,6 @@ def test_word_encoder_on_every_character():
 
     path = tokenizer_path(packing.VOCABULARY)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     texts = [f"a{chr(c)}b {chr(c)}1!{chr(c)}\n{chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
     got = packing.WordEncoder(path).encode(texts)
     assert [x.tobytes() for x in (np.array(e.ids, "<u4") for e in whole.encode_batch(texts, add_special_tokens=False))] == got
