@@ -1,33 +1,27 @@
 """Corpus pipeline: toxicity, quality rules, SimHash near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame; all but the last return
-the columns of documents. Null texts are judged as empty texts: they have no toxic clause and too few words to be kept.
+the columns of documents. Rows are judged and kept one by one, with all their columns: null and repeated ids, repeated rows and extra columns of any name
+do no harm, and of each component of near-duplicates exactly one row stays. Null texts are judged as empty texts: they have no toxic clause and too few words to be kept.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latticeweave.llm import packing, quality, simhash, toxicity
 from latticeweave.llm.common import table
 from latticeweave.operators.materialise import materialise
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose id isn't rejected (rows of one id go or stay together); rows without an id stay."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grammar = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.learnable())
-    return _without(docs, toxicity.judge(docs, grammar).where("predicted = 1"))
+    learned = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.learnable())
+    return toxicity.keep(docs, learned)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    forest = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _without(docs, quality.judge(docs, forest).where("not kept"))
+    return quality.keep(docs, quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
