@@ -1,16 +1,20 @@
 """Embedding near-duplicates: exact pairs of cosine >= threshold within a label, by dual traversal of cover trees.
 
 1. Equal vectors of a label are one class with a count; classes alone are compared.
-2. Each label's classes are dealt to cells around pivots (``PIVOTS`` of them at most for all labels, taken by hash, in proportion to the labels' sizes); a
-   class goes to the nearest pivot. A cell is the top level of a cover tree; its covering radius is the largest distance
-   found. Two cells can hold a pair only if their pivots' distance is at most both radii and the threshold's distance together. A cell of more than ``BLOCK`` classes is cut
-   into blocks by hash, an exact way for any size.
-3. Each pair of blocks that is left is one group: a cover tree (nested levels of halving radii) is built over either
-   block, and both are walked together; a pair of nodes is dropped when the distance of their centres exceeds both covering
+2. Each label's classes are dealt to cells around pivots (``2 * PIVOTS`` of them at most for all labels, taken by hash, in proportion to the labels' sizes): a
+   class goes to the nearest pivot. A cell is the top level of a cover tree; its covering radius is the largest distance found.
+3. Each class looks for the cells that may hold a partner, by itself and in tasks: a cell is left out if its pivot lies further than the cell's radius
+   and the threshold's distance, or if the class lies further than that distance on its own side of the plane between the two pivots. So a class is sent
+   once to its own cell and once to each cell that is left. A cell of more than ``BLOCK`` classes is cut into blocks by hash, an exact way for any size.
+4. In each pair of blocks a cover tree (nested levels of halving radii) is built over either
+   side, and both are walked together; a pair of nodes is dropped when the distance of their centres exceeds both covering
    radii and the threshold's distance. Pairs left are settled by their cosine in double precision.
-4. A group hands on, for each class, the rows linked to it and one link to the least class of its piece, never pairs. Links are
+5. A group hands on, for each class, the rows linked to it and one link to the least class of its piece, never pairs. Links are
    joined to components in rounds (operators.components).
 
+Copies grow with a label's size over ``BLOCK`` where vectors have no structure that bounds could use (all about as far from each other); where they lie in
+clusters, a class is sent about once.
+
 Vectors that are null, empty, zero or hold null or non-finite components, and rows whose label is null, link with nothing: n_links
 0, component their own. Repeated rows are copies of one class: they link with each other. Vectors of different lengths
 link with nothing of the other length. An empty table gives an empty result; other columns are not read.
@@ -27,22 +31,34 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.materialise import materialise
+from .common import short_batches
 from .simhash import _pieces
 
 THRESHOLD = 0.93
 PIVOTS = 2048
-CELL = 1000
-BLOCK = 2000
+#: Classes for each pivot, unless that would make too many pivots, and classes of one side of a group at most (8 MB of 64 components).
+CELL = 16_000
+BLOCK = 16_000
 LEAF = 24
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    # a power of two first, so that neither tiny nor huge components lose their squares
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, so that neither tiny nor huge components lose their squares."""
     top = np.abs(rows).max(axis=1, keepdims=True, initial=0)
-    rows = rows / np.exp2(np.floor(np.log2(np.where(top > 0, top, 1))))
+    return rows / np.exp2(np.floor(np.log2(np.where(top > 0, top, 1))))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = _scaled(rows)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All components in a row, and where each vector begins."""
+    ends = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]
+
+
 class CoverTree:
     """Nodes as arrays: centre (row), covering radius, children (slice of nodes) or, in a leaf, rows."""
 
@@ -126,7 +142,7 @@ def _group_links(a, wa, ida, b, wb, idb, threshold):
         j = j if b is None else j + n
         unsure = np.abs(c - threshold) <= 1e-9
         if unsure.any():  # settled by the plain formula
-            u, v = raw[i[unsure]], raw[j[unsure]]
+            u, v = _scaled(raw[i[unsure]]), _scaled(raw[j[unsure]])
             c[unsure] = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
             i, j = i[c >= threshold], j[c >= threshold]
         if not len(i):
@@ -165,86 +181,113 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     around = {k: (_unit(np.array(v)), np.array(p)) for k, (v, p) in around.items()}
     near = spark.sparkContext.broadcast(around)
 
+    def distances(batch, column: int, spaces: np.ndarray):
+        """For up to 2,000 vectors of one space with pivots at a time: their rows, and the squares of their distances from its pivots."""
+        flat, at = _vectors(batch.column(column))
+        for k in np.unique(spaces).tolist():
+            if k in near.value:
+                own = np.flatnonzero(spaces == k)
+                for s in range(0, len(own), 2000):
+                    part = own[s : s + 2000]
+                    x = np.concatenate([flat[at[i] : at[i + 1]] for i in part]).reshape(len(part), -1)
+                    yield k, part, np.maximum(2 - 2 * (_unit(x) @ near.value[k][0].T), 0)
+
     def to_cells(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             space = batch.column(1).to_numpy()
             cell, far = np.full(len(space), -1, np.int64), np.full(len(space), 2.0)
-            vectors = batch.column(2).to_pylist()
-            for k in np.unique(space).tolist():
-                if k in near.value:
-                    at = np.flatnonzero(space == k)
-                    unit, number = near.value[k]
-                    for s in range(0, len(at), 2000):
-                        own = at[s : s + 2000]
-                        d = 2 - 2 * (_unit(np.array([vectors[i] for i in own])) @ unit.T)
-                        best = d.argmin(axis=1)
-                        cell[own], far[own] = number[best], np.sqrt(np.maximum(d[np.arange(len(own)), best], 0))
+            for k, own, d in distances(batch, 2, space):
+                best = d.argmin(axis=1)
+                cell[own], far[own] = near.value[k][1][best], np.sqrt(d[np.arange(len(own)), best])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["rep", "space", "v", "times", "cell", "far"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    short_batches(spark)
     dealt = materialise(classes.select("rep", "space", "v", "times").mapInArrow(to_cells, "rep long, space long, v array<double>, times long, cell long, far double"))
 
-    # pairs of cells that may hold a pair; a space without a pivot is one cell (-1) of its own
-    sizes = dealt.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # 2 * PIVOTS rows at most
-    radius = {r.cell: r.far for r in sizes}
-    blocks = {r.cell: math.ceil(r.n / BLOCK) for r in sizes}
+    # radii and blocks of the cells: 2 * PIVOTS rows at most
+    sizes = dealt.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    radius, blocks = np.full(len(pivots), -1.0), np.zeros(len(pivots), np.int64)
+    for r in sizes:
+        radius[r.cell], blocks[r.cell] = r.far, math.ceil(r.n / BLOCK)
+    known = spark.sparkContext.broadcast((radius, blocks))
     reach = math.sqrt(2 - 2 * threshold) + 1e-6
-    partners = []
-    for unit, number in around.values():
-        known = [k for k, p in enumerate(number.tolist()) if p in radius]
-        apart = np.sqrt(np.maximum(2 - 2 * unit[known] @ unit[known].T, 0))
-        r = np.array([radius[int(number[k])] for k in known])
-        for i, j in zip(*np.nonzero(np.triu(apart <= r[:, None] + r[None, :] + reach))):
-            partners.append((int(number[known[i]]), int(number[known[j]])))
-    sides = [(a, b, a, blocks[a], blocks[b]) for a, b in partners] + [(b, a, a, blocks[b], blocks[a]) for a, b in partners if a != b]
-    table = spark.createDataFrame(sides, "cell long, other long, low long, own_blocks long, other_blocks long")
-    few = dealt.where("cell < 0").groupBy("space").agg(F.ceil(F.count("*") / BLOCK).alias("own_blocks"))
-    lone = dealt.where("cell < 0").join(few, "space").withColumns({"other": F.lit(-1).cast("long"), "low": F.lit(-1).cast("long"), "other_blocks": F.col("own_blocks")})
-    columns = ["rep", "space", "v", "times", "cell", "other", "low", "own_blocks", "other_blocks"]
-    met = dealt.where("cell >= 0").join(F.broadcast(table), "cell").select(columns).unionByName(lone.select(columns))
-    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own_blocks")))
-    met = met.withColumn("with", F.explode(F.expr("sequence(0L, other_blocks - 1)")))
-    same = F.col("cell") == F.col("other")
-    left = F.when(same, F.col("block") <= F.col("with")).otherwise(F.col("cell") == F.col("low"))
-    lo = F.when(left, F.struct(F.col("cell").alias("c"), F.col("block").alias("b"))).otherwise(F.struct(F.col("other").alias("c"), F.col("with").alias("b")))
-    hi = F.when(left, F.struct(F.col("other").alias("c"), F.col("with").alias("b"))).otherwise(F.struct(F.col("cell").alias("c"), F.col("block").alias("b")))
-    group = met.select(F.xxhash64("space", lo, hi).alias("g"), left.alias("left"), "rep", "times", "v").withColumn("alone", F.lit(False))
+
+    def to_groups(batches):
+        """Each class with the groups (two cells and a block of each, in order) that it takes part in, and on which side."""
+        radius, blocks = known.value
+        between = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, space, cell = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            groups: list = [[] for _ in rep]
+            for k, own, d in distances(batch, 2, space):
+                unit, number = near.value[k]
+                if k not in between:
+                    between[k] = np.sqrt(np.maximum(2 - 2 * unit @ unit.T, 0))
+                a = np.searchsorted(number, cell[own])
+                block = (((rep[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % blocks[cell[own]].astype(np.uint64)).tolist()
+                mine = d[np.arange(len(own)), a][:, None]
+                gap = between[k][a]
+                beyond = np.divide(d - mine, 2 * gap, out=np.zeros_like(d), where=gap > 1e-6)  # distance to the plane between the pivots
+                open_ = (beyond <= reach) & (np.sqrt(d) <= radius[number] + reach) & (blocks[number] > 0)
+                open_[np.arange(len(own)), a] = True
+                for i, row, c, at in zip(own.tolist(), open_, cell[own].tolist(), block):
+                    for other in number[row].tolist():
+                        for b in range(int(blocks[other])):
+                            left = (c, at) <= (other, b)
+                            groups[i].append((c, at, other, b, True) if left else (other, b, c, at, False))
+            ends = np.cumsum([0] + [len(g) for g in groups])
+            parts = list(zip(*(x for g in groups for x in g))) or [()] * 5
+            made = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, [pa.int32()] * 4 + [pa.bool_()])], names=["c", "b", "d", "e", "left"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)], ["rep", "space", "v", "times", "groups"])
+
+    met = dealt.where("cell >= 0").select("rep", "space", "v", "cell", "times").mapInArrow(to_groups, "rep long, space long, v array<double>, times long, groups array<struct<c: int, b: int, d: int, e: int, left: boolean>>")
+    met = met.select("rep", "times", "v", "space", F.inline("groups"))
+    # a space without a pivot is one cell of its own, in blocks
+    few = dealt.where("cell < 0").groupBy("space").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    lone = dealt.where("cell < 0").join(few, "space").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, n - 1)")))
+    none, low, high = F.lit(-1), F.least("own", "with"), F.greatest("own", "with")
+    lone = lone.select("rep", "times", "v", "space", none.alias("c"), low.alias("b"), none.alias("d"), high.alias("e"), (F.col("own") <= F.col("with")).alias("left"))
+    key = ["space", "c", "b", "d", "e"]
 
     def search(batches):
         held: list = []
 
         def solve(parts):
-            left, rep, times = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-            vectors = np.array([v for p in parts for v in p[4]], np.float64)
+            left, rep, times, vectors = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
             one, two = np.flatnonzero(left), np.flatnonzero(~left)
-            if not len(one):
-                return None
+            same = parts[0][0][1:3] == parts[0][0][3:5]
+            if not len(one) or not (same or len(two)):
+                return None  # nobody on the other side
             b = (vectors[two], times[two], rep[two]) if len(two) else (None, None, None)
             ids, links, least = _group_links(vectors[one], times[one], rep[one], *b, threshold)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(least)], ["rep", "links", "least"])
 
         for batch in batches:
-            g = batch.column(0).to_numpy()
-            if not len(g):
+            if not batch.num_rows:
                 continue
-            left, rep, times = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-            vectors = batch.column(4).to_pylist()
-            cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist() + [len(g)]
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
+            left, rep, times = (batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7))
+            flat, at = _vectors(batch.column(8))
+            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist() + [len(keys)]
             for s, e in zip(cuts, cuts[1:]):
-                if held and held[0][0] != g[s]:
+                now = tuple(keys[s].tolist())
+                if held and held[0][0] != now:
                     out = solve(held)
                     held.clear()
                     if out is not None and out.num_rows:
                         yield out
-                held.append((g[s], left[s:e].astype(bool), rep[s:e], times[s:e], vectors[s:e]))
+                held.append((now, left[s:e].astype(bool), rep[s:e], times[s:e], flat[at[s] : at[e]].reshape(e - s, -1)))
         if held:
             out = solve(held)
             if out is not None and out.num_rows:
                 yield out
 
-    dealt_groups = group.select("g", "left", "rep", "times", "v").repartition("g").sortWithinPartitions("g")
+    columns = [*key, "left", "rep", "times", "v"]
+    dealt_groups = met.select(columns).unionByName(lone.select(columns)).repartition(*key).sortWithinPartitions(*key)
     found = materialise(dealt_groups.mapInArrow(search, "rep long, links long, least long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     tied = connected_components(found.select(F.col("rep").alias("src"), F.col("least").alias("dst")))
