@@ -6,7 +6,7 @@ keeps plans short.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,8 @@ class Assembly:
     connections: DataFrame
     orphans: DataFrame
     meta: DataFrame
+    #: What stages in between found: padded, occluded, removed, inner_fringe, receivers, candidates (valid overlap of receivers with distances).
+    stages: dict[str, DataFrame] = field(default_factory=dict)
 
     def report(self) -> DataFrame:
         """Counts of points by grid."""
@@ -219,14 +221,14 @@ def settle_mutual(domain: Domain, overlap: DataFrame, pairwise: DataFrame, mutua
     return pairwise if mutual else materialise(pairwise)
 
 
-def occlusion(domain: Domain, points: DataFrame, overlap: DataFrame, valid: DataFrame, volumes: DataFrame, donor_volumes: DataFrame, fringe: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
-    """Pairwise occlusion (m, n, point of n) after padding, and the points occluded by any grid after smoothing."""
+def occlusion(domain: Domain, points: DataFrame, overlap: DataFrame, valid: DataFrame, volumes: DataFrame, donor_volumes: DataFrame, fringe: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairwise occlusion (m, n, point of n) after padding, the points occluded by any grid after smoothing, and what padding took out before that."""
     spark, meta = domain.spark, domain.meta
     rows = options.pair_rows()
     kinds = {(r["m"], r["n"]): r["occludes"] for r in rows if r["occludes"] != "NONE"}
     none = receivers_side(overlap).where("false")
     if not kinds:
-        return none, none.select(POINT)
+        return none, none.select(POINT), none
     table = spark.createDataFrame([(*p, k) for p, k in kinds.items()], "m int, n int, occludes string")
     # the overlap that counts: valid rows (the mask of later stages), with a coarser point for COARSE
     every = valid.join(F.broadcast(table), ["m", "n"])
@@ -257,7 +259,7 @@ def occlusion(domain: Domain, points: DataFrame, overlap: DataFrame, valid: Data
     occluded = materialise(occluded.distinct())
     # padded points that smoothing took in again count as occluded by their pair, too
     pairwise = materialise(M.minus(pairwise, M.minus(padded, occluded)))
-    return pairwise, occluded
+    return pairwise, occluded, padded
 
 
 def minimize_overlap(domain: Domain, points: DataFrame, pairwise: DataFrame, occluded: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -347,17 +349,19 @@ def assemble(domain: Domain, options: Options) -> Assembly:
     valid = materialise(valid_overlap(domain, points, overlap))
     fringe = materialise(outer_fringe(domain, points, options))
     points = materialise(update(points, (fringe, S.FRINGE | S.OUTER_FRINGE, 0)))
-    pairwise, occluded = occlusion(domain, points, overlap, valid, volumes, donor_volumes, fringe, options)
+    pairwise, occluded, padded = occlusion(domain, points, overlap, valid, volumes, donor_volumes, fringe, options)
     points = materialise(update(points, (occluded, S.OCCLUDED, 0)))
     removed, inner = minimize_overlap(domain, points, pairwise, occluded, options)
     points = materialise(update(points, (removed, S.OVERLAP_MINIMIZED, S.ACTIVE | S.OUTER_FRINGE), (inner, S.FRINGE | S.INNER_FRINGE, 0)))
     valid = materialise(valid_overlap(domain, points, overlap))
     receiving = materialise(receivers(points))
-    donors = materialise(choose_donors(donor_candidates(domain, receiving, overlap, valid, donor_volumes, options), options))
+    found = materialise(donor_candidates(domain, receiving, overlap, valid, donor_volumes, options))
+    donors = materialise(choose_donors(found, options))
     made = None
     for kind in ("NEAREST", "LINEAR"):
         part = connections_of(donors.where(F.col("kind") == kind), kind, dims)
         made = part if made is None else made.unionByName(part)
     orphans = M.minus(receiving, donors.select(F.col("n").alias("grid_id"), *(F.col(f"n{a}").alias(a) for a in IJK)))
     points = materialise(update(points, (receiving, S.RECEIVER, 0), (orphans, S.ORPHAN, 0)))
-    return Assembly(points, overlap, materialise(made), materialise(orphans), meta)
+    stages = {"padded": padded, "occluded": occluded, "removed": removed, "inner_fringe": inner, "receivers": receiving, "candidates": found}
+    return Assembly(points, overlap, materialise(made), materialise(orphans), meta, stages)

@@ -33,10 +33,10 @@ def active_masks(spark, sf_dir):
     return L.summed(spark, sf_dir).select("grid_id", *IJK, has(f, S.ACTIVE).alias("active"), (has(f, S.ACTIVE) & has(f, S.DOMAIN_BOUNDARY)).alias("boundary"), (has(f, S.ACTIVE) & has(f, S.INTERNAL_BOUNDARY)).alias("internal"))
 
 
-_CELLS = """cells AS (SELECT a.grid_id, a.i AS ci, a.j AS cj, a.x AS x0, a.y AS y0, d.x AS x1, d.y AS y1, (a.flags & b.flags & c.flags & d.flags & 1) = 1 AS active, (b.x - a.x) * (c.y - a.y) AS volume
-  FROM pts a JOIN pts b ON b.grid_id = a.grid_id AND b.i = a.i + 1 AND b.j = a.j JOIN pts c ON c.grid_id = a.grid_id AND c.i = a.i AND c.j = a.j + 1
-  JOIN pts d ON d.grid_id = a.grid_id AND d.i = a.i + 1 AND d.j = a.j + 1),
-vols AS (SELECT p.grid_id, p.i, p.j, avg(c.volume) AS volume FROM pts p JOIN cells c ON c.grid_id = p.grid_id AND c.ci BETWEEN p.i - 1 AND p.i AND c.cj BETWEEN p.j - 1 AND p.j GROUP BY ALL)"""
+_CELLS = """corner(a, b) AS (VALUES (0, 0), (1, 0), (0, 1), (1, 1)),
+cells AS MATERIALIZED (SELECT grid_id, i - a AS ci, j - b AS cj, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, bool_and((flags & 1) = 1) AS active, (max(x) - min(x)) * (max(y) - min(y)) AS volume
+  FROM pts, corner GROUP BY grid_id, i - a, j - b HAVING count(*) = 4),
+vols AS MATERIALIZED (SELECT grid_id, ci + a AS i, cj + b AS j, avg(volume) AS volume FROM cells, corner GROUP BY grid_id, ci + a, cj + b)"""
 
 
 def _cells(spark, sf_dir):
@@ -56,10 +56,11 @@ def point_volume(spark, sf_dir):
     return point_volumes(cells, meta, 2).select("grid_id", "i", "j", "volume")
 
 
-_OVERLAP = f"""pairs(m, n) AS (VALUES {', '.join(map(str, _PAIRS))}),
-hits AS (SELECT q.m, q.n, p.i AS ni, p.j AS nj, c.ci, c.cj, (p.x - c.x0) / (c.x1 - c.x0) AS u, (p.y - c.y0) / (c.y1 - c.y0) AS v
-  FROM pairs q JOIN pts p ON p.grid_id = q.n AND (p.flags & 1) = 1 JOIN cells c ON c.grid_id = q.m AND c.active AND p.x BETWEEN c.x0 AND c.x1 AND p.y BETWEEN c.y0 AND c.y1),
-over AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m, n, ni, nj ORDER BY greatest(abs(u - 0.5), abs(v - 0.5)), cj, ci) AS best FROM hits) WHERE best = 1)"""
+_OVERLAP = f"""pairs(m, n) AS (VALUES {', '.join(map(str, _PAIRS))}), lattice(m, ox, oy, sx, sy) AS (VALUES (1, 0.0, 0.0, 1.0, 1.0), (2, 8.25, 4.25, 0.75, 0.75), (3, 30.125, 10.125, 0.5, 0.5)),
+near AS (SELECT q.m, q.n, p.i AS ni, p.j AS nj, p.x, p.y, floor((p.x - ox) / sx)::INT - a AS ci, floor((p.y - oy) / sy)::INT - b AS cj FROM pairs q JOIN pts p ON p.grid_id = q.n AND (p.flags & 1) = 1 JOIN lattice l ON l.m = q.m, corner),
+hits AS (SELECT h.m, h.n, h.ni, h.nj, h.ci, h.cj, (h.x - c.x0) / (c.x1 - c.x0) AS u, (h.y - c.y0) / (c.y1 - c.y0) AS v
+  FROM near h JOIN cells c ON c.grid_id = h.m AND c.ci = h.ci AND c.cj = h.cj AND c.active WHERE h.x BETWEEN c.x0 AND c.x1 AND h.y BETWEEN c.y0 AND c.y1),
+over AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m, n, ni, nj ORDER BY greatest(abs(u - 0.5), abs(v - 0.5)), cj, ci) AS best FROM hits) WHERE best = 1)"""
 
 
 def _overlap(spark, sf_dir):
@@ -113,16 +114,19 @@ for _op, _sql in {
     _collect_query(_op, _sql)
 
 
-@query(f"""{L.sql_points()}, {_CELLS}, {_OVERLAP}, {_CORNERS}, got AS (SELECT m, n, ni, nj, sum(weight * value) AS value FROM stencil GROUP BY m, n, ni, nj)
-SELECT p.grid_id, p.i, p.j, coalesce((SELECT arg_max(g.value, g.m) FROM got g WHERE g.n = p.grid_id AND g.ni = p.i AND g.nj = p.j), p.value) AS value FROM pts p""")
+_GOT = """got AS (SELECT m, n, ni, nj, sum(weight * value) AS value FROM stencil GROUP BY m, n, ni, nj),
+arrived AS (SELECT n AS grid_id, ni AS i, nj AS j, {how} AS new FROM got GROUP BY n, ni, nj)
+SELECT grid_id, i, j, {put} AS value FROM pts LEFT JOIN arrived USING (grid_id, i, j)"""
+
+
+@query(f"{L.sql_points()}, {_CELLS}, {_OVERLAP}, {_CORNERS}, {_GOT.format(how='arg_max(value, m)', put='coalesce(new, value)')}")
 def disperse_overwrite(spark, sf_dir):
     points, meta, _, overlap = _overlap(spark, sf_dir)
     fields = points.select("grid_id", *IJK, "value")
     return X.exchange(X.connections_of(overlap), fields, meta, ordered=True).drop("k")
 
 
-@query(f"""{L.sql_points()}, {_CELLS}, {_OVERLAP}, {_CORNERS}, got AS (SELECT m, n, ni, nj, sum(weight * value) AS value FROM stencil GROUP BY m, n, ni, nj)
-SELECT p.grid_id, p.i, p.j, p.value + coalesce((SELECT sum(g.value) FROM got g WHERE g.n = p.grid_id AND g.ni = p.i AND g.nj = p.j), 0) AS value FROM pts p""")
+@query(f"{L.sql_points()}, {_CELLS}, {_OVERLAP}, {_CORNERS}, {_GOT.format(how='sum(value)', put='value + coalesce(new, 0)')}")
 def disperse_append(spark, sf_dir):
     points, meta, _, overlap = _overlap(spark, sf_dir)
     fields = points.select("grid_id", *IJK, "value")

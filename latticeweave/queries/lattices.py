@@ -25,9 +25,11 @@ _SUMS = {
     RING: ("events", "user_id % 13", "event_id % 8", "sum(cast(floor(value) as bigint))"),
 }
 FLAGS = "case when s % 4 <> 0 then 1 else 0 end + case when s % 7 = 0 then 2 else 0 end + case when s % 11 = 0 then 4 else 0 end"
+#: For whole assemblies: few points are inactive or on a boundary, so that occlusion leaves something to do.
+CALM = "case when s % 61 <> 0 then 1 else 0 end + case when s % 47 = 0 then 2 else 0 end + case when s % 53 = 0 then 4 else 0 end"
 
 
-def summed(spark: SparkSession, sf_dir: str, wrapped: bool = False) -> DataFrame:
+def summed(spark: SparkSession, sf_dir: str, wrapped: bool = False, flags: str = FLAGS) -> DataFrame:
     """(grid_id, i, j, k, x, y, z, s, flags, value); wrapped: the third grid's last column is the first again."""
     points = analytic_points(spark, GRIDS, COORDS).drop("flags")
     rows = None
@@ -37,17 +39,17 @@ def summed(spark: SparkSession, sf_dir: str, wrapped: bool = False) -> DataFrame
     j = F.when(F.col("grid_id") == RING, F.col("j") % 8).otherwise(F.col("j")) if wrapped else F.col("j")
     met = points.join(rows, (F.col("grid_id") == F.col("_g")) & (F.col("i") == F.col("_i")) & (j == F.col("_j")), "left")
     met = met.withColumn("s", F.coalesce("s", F.lit(1)))
-    return met.select("grid_id", "i", "j", "k", "x", "y", "z", "s", F.expr(FLAGS).cast("int").alias("flags"), F.expr("cast(s % 1000 as double)").alias("value"))
+    return met.select("grid_id", "i", "j", "k", "x", "y", "z", "s", F.expr(flags).cast("int").alias("flags"), F.expr("cast(s % 1000 as double)").alias("value"))
 
 
-def sql_points(wrapped: bool = False) -> str:
+def sql_points(wrapped: bool = False, flags: str = FLAGS) -> str:
     """CTEs up to pts (grid_id, i, j, k, x, y, s, flags, value) and meta (grid_id, ni, nj, per_i, per_j, qi, qj, pair ends of cells di, dj)."""
     sums = " UNION ALL ".join(f"SELECT {g} AS g, ({i})::INT AS i, ({j})::INT AS j, {s}::BIGINT AS s FROM {name} GROUP BY 2, 3" for g, (name, i, j, s) in _SUMS.items())
     grids = MASK_GRIDS if wrapped else GRIDS
     meta = ", ".join(f"({g.grid_id}, {g.size(0)}, {g.size(1)}, {g.periodic[0]}, {g.periodic[1]}, {g.period(0)}, {g.period(1)}, {g.cell_end(0)}, {g.cell_end(1)})" for g in grids)
     x, y = (" ".join(f"WHEN {g} THEN {COORDS[g][d]}" for g in COORDS) for d in (0, 1))
     at = "CASE WHEN m.grid_id = 3 THEN b.j % 8 ELSE b.j END" if wrapped else "b.j"
-    return f"""WITH RECURSIVE meta(grid_id, ni, nj, per_i, per_j, qi, qj, di, dj) AS (VALUES {meta}), sums AS ({sums}),
+    return f"""WITH RECURSIVE meta(grid_id, ni, nj, per_i, per_j, qi, qj, di, dj) AS (VALUES {meta}), sums AS MATERIALIZED ({sums}),
 pts0 AS (SELECT m.grid_id, a.i::INT AS i, b.j::INT AS j, coalesce(q.s, 1) AS s FROM meta m JOIN range(0, 64) a(i) ON a.i < m.ni JOIN range(0, 64) b(j) ON b.j < m.nj
   LEFT JOIN sums q ON q.g = m.grid_id AND q.i = a.i AND q.j = {at}),
-pts AS (SELECT grid_id, i, j, 0 AS k, (CASE grid_id {x} END)::DOUBLE AS x, (CASE grid_id {y} END)::DOUBLE AS y, s, ({FLAGS})::INT AS flags, (s % 1000)::DOUBLE AS value FROM pts0)"""
+pts AS MATERIALIZED (SELECT grid_id, i, j, 0 AS k, (CASE grid_id {x} END)::DOUBLE AS x, (CASE grid_id {y} END)::DOUBLE AS y, s, ({flags})::INT AS flags, (s % 1000)::DOUBLE AS value FROM pts0)"""
