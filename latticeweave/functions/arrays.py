@@ -29,6 +29,17 @@ def array_fill_interval(a, begin, end, value) -> Column:
     return F.transform(a, lambda x, i: F.when((i >= begin) & (i < end), value).otherwise(x))
 
 
+def array_fill_list(a, values) -> Column:
+    """The listed values in place of the array's, in order. A list of another size leaves what it doesn't reach."""
+    listed = F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)) if not isinstance(values, Column) else values
+    return F.transform(a, lambda x, i: F.coalesce(F.try_element_at(listed, i + 1), x))
+
+
+def array_fill_from(a, other) -> Column:
+    """The other array's values, in order (nulls leave what stands there)."""
+    return array_fill_list(a, other)
+
+
 def array_none(a, f=lambda x: x) -> Column:
     return ~F.exists(a, f)
 

@@ -32,6 +32,51 @@ def map_to_range(index, begin, period, periodic, low, high) -> Column:
     return F.when((moved >= low) & (moved < high), moved)
 
 
+def map_range(cart, r, other) -> tuple[list[tuple[Column, Column]], Column]:
+    """The other range moved by whole periods so that it meets r, and whether that is possible. cart: (begin, period, periodic) of each direction.
+
+    It stays where it is if it meets r there; else its lower corner goes into r if it can; else both begin within the first
+    period and the other stays or goes one period down, direction by direction.
+    """
+    here = ranges_overlap(r, other)
+    corner = [map_to_range(b, begin, period, periodic, lo, hi) for (begin, period, periodic), (lo, hi), (b, _) in zip(cart, r, other)]
+    held = reduce(lambda x, y: x & y, (c.isNotNull() for c in corner))
+    at, out = [], []
+    for (begin, period, periodic), (lo, hi), (b, e) in zip(cart, r, other):
+        move = lambda x, begin=begin, period=period, periodic=periodic: F.when(_c(periodic), periodic_adjust(x, begin, period)).otherwise(_c(x))
+        own, size = move(lo), _c(hi) - lo
+        first, width = move(b), _c(e) - b
+        meets = lambda x, own=own, size=size, width=width: (x < own + size) & (own < x + width)
+        down = first - F.when(_c(periodic), _c(period)).otherwise(F.lit(0))
+        at.append(F.when(meets(first), first).when(meets(down), down))
+    apart = reduce(lambda x, y: x & y, (x.isNotNull() for x in at)) & ~range_empty(r) & ~range_empty(other)
+    possible = here | held | apart
+    for (b, e), low, far in zip(other, corner, at):
+        begin = F.when(here, _c(b)).when(held, low).when(apart, far)
+        out.append((begin, begin + (_c(e) - b)))
+    return out, possible
+
+
+def concat(a, b):
+    """The directions of one interval, then those of the other."""
+    return [*a, *b]
+
+
+def extend_local_range(r, whole, periodic, amount):
+    """A part of the whole range with a halo, but not beyond sides that aren't periodic."""
+    return [(F.when((_c(b) != _c(wb)) | _c(p), _c(b) - amount).otherwise(_c(b)), F.when((_c(e) != _c(we)) | _c(p), _c(e) + amount).otherwise(_c(e))) for (b, e), (wb, we), p in zip(r, whole, periodic)]
+
+
+def points_of_cells(r):
+    """The points of a range of cells."""
+    return [(_c(b), _c(e) + 1) for b, e in r]
+
+
+def with_exterior(r, whole, periodic):
+    """A part with the ring of points outside the whole range, where it touches sides that aren't periodic."""
+    return [(F.when((_c(b) == _c(wb)) & ~_c(p), _c(b) - 1).otherwise(_c(b)), F.when((_c(e) == _c(we)) & ~_c(p), _c(e) + 1).otherwise(_c(e))) for (b, e), (wb, we), p in zip(r, whole, periodic)]
+
+
 def linear_index(i, j, k, bi, bj, bk, ni, nj) -> Column:
     """Long index within a range, i fastest."""
     return (_c(i) - bi).cast("long") + _c(ni).cast("long") * ((_c(j) - bj) + _c(nj).cast("long") * (_c(k) - bk))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,10 @@ def string_replace(text, old: str, new: str) -> Column:
 
 def string_join(column, separator: str) -> Column:
     return F.array_join(column, separator)
+
+
+def print_field(field: DataFrame, value: str = "value", width: int = 1, keys: tuple[str, ...] = ("grid_id",)) -> DataFrame:
+    """A field as lines of text, one for each row of points: keys, k, j, line (values by i, right-justified to the width). Order by k and descending j to read it."""
+    shown = F.when(F.length(F.col(value).cast("string")) >= width, F.col(value).cast("string")).otherwise(F.lpad(F.col(value).cast("string"), width, " "))
+    cells = F.sort_array(F.collect_list(F.struct("i", F.coalesce(shown, F.lit("-")).alias("s"))))
+    return field.groupBy(*keys, "k", "j").agg(F.concat_ws("", F.transform(cells, lambda c: F.concat(F.lit(" "), c["s"], F.lit(" ")))).alias("line"))

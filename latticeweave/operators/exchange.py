@@ -25,39 +25,50 @@ def stencil_rows(connections: DataFrame, meta: DataFrame) -> DataFrame:
     return out.select(*KEY, v.alias("v"), F.col("m").alias("grid_id"), *IJK, (F.col("_wi") * F.col("_wj") * F.col("_wk")).alias("weight"))
 
 
-def collect(connections: DataFrame, fields: DataFrame, meta: DataFrame, op: str = "INTERPOLATE", value: str = "value", ordered: bool = False) -> DataFrame:
-    """The key and value of each connection. Logical operators give 1 or 0 and take any value but 0 as true. ordered: sum
+def _values(value: str | list[str]) -> dict[str, str]:
+    """Column -> name of the result; a single column's result is called value."""
+    return {value: "value"} if isinstance(value, str) else {v: v for v in value}
+
+
+def collect(connections: DataFrame, fields: DataFrame, meta: DataFrame, op: str = "INTERPOLATE", value: str | list[str] = "value", ordered: bool = False) -> DataFrame:
+    """The key and value of each connection, or the values of several columns in one pass. Logical operators give 1 or 0 and take any value but 0 as true. ordered: sum
     in the order of the stencil's points, so that the result is the same to the last bit however the rows are dealt."""
     if op not in COLLECTS:
         raise ValueError(f"unknown collect operator {op}; known: {', '.join(COLLECTS)}")
-    if op == "INTERPOLATE" and dict(fields.dtypes)[value] not in ("float", "double"):
+    kinds, names = dict(fields.dtypes), _values(value)
+    if op == "INTERPOLATE" and any(kinds[v] not in ("float", "double") for v in names):
         raise TypeError("INTERPOLATE takes float or double values")
-    met = stencil_rows(connections, meta).join(fields.select("grid_id", *IJK, F.col(value).alias("value")), ["grid_id", *IJK])
-    true = F.col("value") != (F.lit(False) if dict(fields.dtypes)[value] == "boolean" else 0)
-    if op == "INTERPOLATE" and ordered:
-        terms = F.sort_array(F.collect_list(F.struct("v", (F.col("weight") * F.col("value")).alias("t"))))
-        how = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["t"])
-    else:
-        how = {
-            "INTERPOLATE": F.sum(F.col("weight") * F.col("value")), "NONE": (~F.bool_or(true)).cast("int"), "ANY": F.bool_or(true).cast("int"),
-            "NOT_ALL": (~F.bool_and(true)).cast("int"), "ALL": F.bool_and(true).cast("int"), "MIN": F.min("value"), "MAX": F.max("value"),
+    met = stencil_rows(connections, meta).join(fields.select("grid_id", *IJK, *(F.col(v).alias(f"_v{k}") for k, v in enumerate(names))), ["grid_id", *IJK])
+
+    def how(x: str, kind: str):
+        true = F.col(x) != (F.lit(False) if kind == "boolean" else 0)
+        if op == "INTERPOLATE" and ordered:
+            terms = F.sort_array(F.collect_list(F.struct("v", (F.col("weight") * F.col(x)).alias("t"))))
+            return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["t"])
+        return {
+            "INTERPOLATE": F.sum(F.col("weight") * F.col(x)), "NONE": (~F.bool_or(true)).cast("int"), "ANY": F.bool_or(true).cast("int"),
+            "NOT_ALL": (~F.bool_and(true)).cast("int"), "ALL": F.bool_and(true).cast("int"), "MIN": F.min(x), "MAX": F.max(x),
         }[op]
-    return met.groupBy(KEY).agg(how.alias("value"))
+
+    return met.groupBy(KEY).agg(*(how(f"_v{k}", kinds[v]).alias(name) for k, (v, name) in enumerate(names.items())))
 
 
-def disperse(fields: DataFrame, collected: DataFrame, op: str = "OVERWRITE", value: str = "value") -> DataFrame:
+def disperse(fields: DataFrame, collected: DataFrame, op: str = "OVERWRITE", value: str | list[str] = "value") -> DataFrame:
     """The fields with the collected values put in place of (OVERWRITE) or added to (APPEND) those of the receivers. Of several
     values for one receiver OVERWRITE takes that of the highest m, APPEND their sum."""
     if op not in ("OVERWRITE", "APPEND"):
         raise ValueError(f"unknown disperse operator {op}")
-    new = F.max_by("value", "m") if op == "OVERWRITE" else F.sum("value")
-    arrived = collected.groupBy(F.col("n").alias("grid_id"), *(F.col(f"n{a}").alias(a) for a in IJK)).agg(new.alias("_new"))
+    kinds, names = dict(fields.dtypes), _values(value)
+    new = [(F.max_by(name, "m") if op == "OVERWRITE" else F.sum(name)).alias(f"_new{k}") for k, name in enumerate(names.values())]
+    arrived = collected.groupBy(F.col("n").alias("grid_id"), *(F.col(f"n{a}").alias(a) for a in IJK)).agg(*new)
     out = fields.join(arrived, ["grid_id", *IJK], "left")
-    put = F.coalesce("_new", value) if op == "OVERWRITE" else F.col(value) + F.coalesce("_new", F.lit(0))
-    return out.withColumn(value, put.cast(dict(fields.dtypes)[value])).drop("_new").select(fields.columns)
+    for k, v in enumerate(names):
+        put = F.coalesce(f"_new{k}", v) if op == "OVERWRITE" else F.col(v) + F.coalesce(f"_new{k}", F.lit(0))
+        out = out.withColumn(v, put.cast(kinds[v]))
+    return out.select(fields.columns)
 
 
-def exchange(connections: DataFrame, fields: DataFrame, meta: DataFrame, collect_op: str = "INTERPOLATE", disperse_op: str = "OVERWRITE", value: str = "value", ordered: bool = False) -> DataFrame:
+def exchange(connections: DataFrame, fields: DataFrame, meta: DataFrame, collect_op: str = "INTERPOLATE", disperse_op: str = "OVERWRITE", value: str | list[str] = "value", ordered: bool = False) -> DataFrame:
     """Collect, send and disperse in one plan."""
     return disperse(fields, collect(connections, fields, meta, collect_op, value, ordered), disperse_op, value)
 

@@ -51,11 +51,13 @@ def with_twins(mask: DataFrame, meta: DataFrame) -> DataFrame:
     return out.select(names)
 
 
-def _scatter(mask: DataFrame, meta: DataFrame, radius, ring: int = 0) -> DataFrame:
-    """One row for each (true point, neighbour) with the neighbour's indices in place of the point's; ring: how far outside it may lie."""
+def _scatter(mask: DataFrame, meta: DataFrame, radius, ring: int = 0, along: str = "ijk") -> DataFrame:
+    """One row for each (true point, neighbour) with the neighbour's indices in place of the point's; ring: how far outside it may lie; along: directions to look in."""
     radius = radius if isinstance(radius, Column) else F.lit(radius)
     out = _with_meta(mask, meta).where(~(_last_twin("i") | _last_twin("j") | _last_twin("k"))).withColumn("_r", radius.cast("int"))
     for d, a in enumerate(IJK):
+        if a not in along:
+            continue
         reach = F.when(F.col("num_dims") > d, F.col("_r")).otherwise(0)
         out = out.withColumn(a, F.explode(F.sequence(F.col(a) - reach, F.col(a) + reach)))
         inside = (F.col(a) >= F.col(f"b{a}") - (ring if ring else 0)) & (F.col(a) < F.col(f"e{a}") + (ring if ring else 0))
@@ -106,7 +108,12 @@ def either(*masks: DataFrame) -> DataFrame:
 def dilate(mask: DataFrame, meta: DataFrame, radius=1, bc: str = FALSE, keys: DataFrame | None = None) -> DataFrame:
     """True points and all within the Chebyshev radius (a number or a column); with TRUE also all as near to a side of the key rows' grids."""
     names = mask.columns
-    out = _scatter(mask, meta, radius).select(names).distinct()
+    if isinstance(radius, Column) or radius > 2:  # a ball is a product: one direction after the other
+        out = mask
+        for a in IJK:
+            out = _scatter(out, meta, radius, along=a).select(names).distinct()
+    else:
+        out = _scatter(mask, meta, radius).select(names).distinct()
     if bc == TRUE:
         keys = mask.select(_keys(mask)).distinct() if keys is None else keys
         sides = _with_meta(all_points(keys, meta), meta).where(_near_side(F.lit(radius) if not isinstance(radius, Column) else radius)).select(names)
@@ -122,17 +129,37 @@ def erode(mask: DataFrame, meta: DataFrame, radius: int = 1, bc: str = FALSE) ->
     return with_twins(_with_meta(met, meta).where(F.col("_met") == full).select(names), meta)
 
 
-def inner_edge(mask: DataFrame, meta: DataFrame, bc: str = FALSE) -> DataFrame:
-    """True points with a false neighbour."""
-    return minus(mask, erode(mask, meta, 1, bc))
+def _mirrored_ring(mask: DataFrame, meta: DataFrame) -> DataFrame:
+    """Points just outside the grids whose nearest grid point is true."""
+    out, names = _with_meta(mask, meta).withColumn("_out", F.lit(False)), mask.columns
+    for d, a in enumerate(IJK):
+        side = (F.col("num_dims") > d) & ~F.col(f"per_{a}")
+        low, high = F.when(side & (F.col(a) == F.col(f"b{a}")), F.col(a) - 1), F.when(side & (F.col(a) == F.col(f"e{a}") - 1), F.col(a) + 1)
+        moved = F.array_compact(F.array(F.struct(F.col(a).alias("x"), F.lit(False).alias("o")), F.when(low.isNotNull(), F.struct(low.alias("x"), F.lit(True).alias("o"))), F.when(high.isNotNull(), F.struct(high.alias("x"), F.lit(True).alias("o")))))
+        out = out.withColumn("_m", F.explode(moved)).withColumn(a, F.col("_m.x")).withColumn("_out", F.col("_out") | F.col("_m.o"))
+    return out.where("_out").select(names)
+
+
+def _outside(points: DataFrame, meta: DataFrame) -> DataFrame:
+    beyond = [(F.col(a) < F.col(f"b{a}")) | (F.col(a) >= F.col(f"e{a}")) for a in IJK]
+    return _with_meta(points, meta).where(beyond[0] | beyond[1] | beyond[2]).select(points.columns)
+
+
+def inner_edge(mask: DataFrame, meta: DataFrame, bc: str = FALSE, exterior: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """True points with a false neighbour; exterior: also those of the ring of points outside, whose value is bc's (of the key rows' grids)."""
+    edge = minus(mask, erode(mask, meta, 1, bc))
+    if not exterior or bc == FALSE:
+        return edge
+    keys = mask.select(_keys(mask)).distinct() if keys is None else keys
+    near_false = _outside(with_twins(_scatter(minus(all_points(keys, meta), mask), meta, 1, ring=1).select(mask.columns).distinct(), meta), meta)
+    return edge.unionByName(near_false if bc == TRUE else both(near_false, _mirrored_ring(mask, meta)))
 
 
 def outer_edge(mask: DataFrame, meta: DataFrame, bc: str = FALSE, exterior: bool = False, keys: DataFrame | None = None) -> DataFrame:
-    """False points with a true neighbour; exterior: also those of the ring of points outside, whose value is bc."""
-    names = mask.columns
-    if exterior and bc == FALSE:
-        near = with_twins(_scatter(mask, meta, 1, ring=1).select(names).distinct(), meta)
-        return minus(near, mask)
+    """False points with a true neighbour; exterior: also those of the ring of points outside, whose value is bc's (with TRUE none of them is false)."""
+    if exterior and bc != TRUE:
+        near = with_twins(_scatter(mask, meta, 1, ring=1).select(mask.columns).distinct(), meta)
+        return minus(near, mask if bc == FALSE else mask.unionByName(_mirrored_ring(mask, meta)))
     return minus(dilate(mask, meta, 1, TRUE if bc == TRUE else FALSE, keys), mask)
 
 

@@ -1,7 +1,10 @@
 """Overlap detection: for each allowed pair of grids (m, n), the cell of m that holds each active point of n.
 
-A range join would be a nested loop, so cells are dealt to the bins of a uniform lattice that their boxes touch; a point lies
-in exactly one bin, and the join is on the bin. What is left is tested exactly. The bins are twice the mean box of m's cells (times ``bin_scale``).
+A range join would be a nested loop, so cells are dealt to the bins of uniform lattices that their boxes touch; a point lies
+in exactly one bin of each lattice, and the join is on the bin. What is left is tested exactly. There is a lattice for each size of cells, direction by direction, in
+powers of ``STEP`` of the mean box (times ``bin_scale``): every cell lies on the lattice of its own size, where it touches two bins along a direction at
+most and few cells share one, so stretched grids make neither crowded bins nor cells in many of them. A point asks all
+sizes that its partner grid has, a number that grows with the logarithm of the stretching.
 
 Of several cells the best is kept: one with local coordinates within [0, 1], nearest to its own middle; else the
 one least outside; ties go to the lowest cell index. Points with coordinates that are null, not a number or infinite are never found.
@@ -22,12 +25,20 @@ from .masks import IJK
 XYZ = ("x", "y", "z")
 
 
+#: Ratio of one lattice's bins to the next finer one's.
+STEP = 4.0
+
+
 def _bin_table(cells: DataFrame, dims: int, bin_scale: float) -> DataFrame:
-    """One row per grid: the edge of its bins along each direction."""
+    """One row per grid: the edge of its middle lattice's bins along each direction."""
     sizes = [F.avg(F.col(f"hi_{x}") - F.col(f"lo_{x}")) for x in XYZ[:dims]]
     return cells.groupBy(F.col("grid_id").alias("m")).agg(*(F.when(s > 0, 2.0 * bin_scale * s).otherwise(1.0).alias(f"s{x}") for s, x in zip(sizes, XYZ)))
 
 
+def _bin(x, edge, level):
+    return F.floor(x / (edge * F.pow(F.lit(STEP), level)))
+
+
 def candidates(points: DataFrame, cells: DataFrame, pairs: DataFrame, dims: int, bin_scale: float = 1.0) -> DataFrame:
     """(point of n, cell of m) where m's widened box holds the point: m, n, ni, nj, nk, px, py, pz, tolerance and the cell's columns."""
     xyz = XYZ[:dims]
@@ -38,14 +49,21 @@ def candidates(points: DataFrame, cells: DataFrame, pairs: DataFrame, dims: int,
     for x in xyz:
         middle, half = 0.5 * (F.col(f"lo_{x}") + F.col(f"hi_{x}")), 0.5 * (F.col(f"hi_{x}") - F.col(f"lo_{x}")) * (1.0 + 2.0 * F.col("_wide"))
         boxes = boxes.withColumn(f"lo_{x}", middle - half).withColumn(f"hi_{x}", middle + half)
-        boxes = boxes.withColumn(f"_b{x}", F.explode(F.sequence(F.floor(F.col(f"lo_{x}") / F.col(f"s{x}")), F.floor(F.col(f"hi_{x}") / F.col(f"s{x}")))))
+        width = F.col(f"hi_{x}") - F.col(f"lo_{x}")
+        level = F.ceil(F.log(width / F.col(f"s{x}")) / F.log(F.lit(STEP)))
+        boxes = boxes.withColumn(f"_l{x}", F.when(width > 0, F.greatest(F.lit(-20), level)).otherwise(-20).cast("int"))  # 4^-20 of the mean: as good as a point
+    levels = [f"_l{x}" for x in xyz]
+    present = boxes.select("m", *levels).distinct()  # sizes of cells, not cells
+    for x in xyz:
+        first, last = (_bin(F.col(f"{e}_{x}"), F.col(f"s{x}"), F.col(f"_l{x}")) for e in ("lo", "hi"))
+        boxes = boxes.withColumn(f"_b{x}", F.explode(F.sequence(first, last)))
     boxes = boxes.drop("_wide", "volume", "active", *(f"s{x}" for x in xyz))
     fine = reduce(lambda a, b: a & b, (~geometry.is_missing(F.col(x)) for x in xyz))
     found = points.where((F.col("flags").bitwiseAND(F.lit(ACTIVE)) != 0) & fine)
     found = found.select(F.col("grid_id").alias("n"), *(F.col(a).alias(f"n{a}") for a in IJK), *(F.col(x).alias(f"p{x}") for x in XYZ))
-    found = found.join(F.broadcast(pairs.select("m", "n", "tolerance")), "n").join(F.broadcast(bins), "m")
-    found = found.select("m", "n", *(f"n{a}" for a in IJK), *(f"p{x}" for x in XYZ), "tolerance", *(F.floor(F.col(f"p{x}") / F.col(f"s{x}")).alias(f"_b{x}") for x in xyz))
-    met = found.join(boxes, ["m", *(f"_b{x}" for x in xyz)]).drop(*(f"_b{x}" for x in xyz))
+    found = found.join(F.broadcast(pairs.select("m", "n", "tolerance")), "n").join(F.broadcast(bins), "m").join(F.broadcast(present), "m")
+    found = found.select("m", "n", *(f"n{a}" for a in IJK), *(f"p{x}" for x in XYZ), "tolerance", *levels, *(_bin(F.col(f"p{x}"), F.col(f"s{x}"), F.col(f"_l{x}")).alias(f"_b{x}") for x in xyz))
+    met = found.join(boxes, ["m", *levels, *(f"_b{x}" for x in xyz)]).drop(*levels, *(f"_b{x}" for x in xyz))
     within = reduce(lambda a, b: a & b, (F.col(f"p{x}").between(F.col(f"lo_{x}"), F.col(f"hi_{x}")) for x in xyz))
     return met.where(within).drop(*(f"{e}_{x}" for e in ("lo", "hi") for x in xyz))
 

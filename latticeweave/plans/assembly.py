@@ -19,6 +19,7 @@ from ..operators.materialise import materialise
 from ..operators.masks import IJK
 from ..operators.overlap import detect_overlap, linear_weight
 from ..sources.grids import cells_of, corners_of, point_volumes
+from .observe import Profile
 from .options import Options
 
 DONOR_TOLERANCE = 1e-12
@@ -134,7 +135,7 @@ def cut_holes(domain: Domain, points: DataFrame, overlap: DataFrame, options: Op
     bare = materialise(M.minus(M.outer_edge(held, meta, M.MIRROR), cover))
     radius = dict.fromkeys(cut, 0)
     covered = {(r.m, r.n) for r in cover.select("m", "n").distinct().collect()}
-    spread = 0
+    spread, grown = 0, cover
     while True:
         open_pairs = [(r.m, r.n) for r in bare.select("m", "n").distinct().collect() if (r.m, r.n) in covered]
         if not open_pairs:
@@ -142,7 +143,8 @@ def cut_holes(domain: Domain, points: DataFrame, overlap: DataFrame, options: Op
         spread += 1
         for p in open_pairs:
             radius[p] = spread
-        bare = materialise(M.minus(bare, M.dilate(cover, meta, spread)))
+        grown = materialise(M.dilate(grown, meta, 1))  # one step further each round
+        bare = materialise(M.minus(bare, grown))
     far = spark.createDataFrame([(*p, r) for p, r in radius.items()], "m int, n int, _far int")
     edge = boundary(points)
     hit = M.both(reverse, edge)
@@ -186,11 +188,11 @@ def outer_fringe(domain: Domain, points: DataFrame, options: Options) -> DataFra
 
 
 def _map_column(values: dict[int, int], column: str):
-    out = F.lit(0)
-    for g, v in values.items():
-        if v:
-            out = F.when(F.col(column) == g, v).otherwise(out)
-    return out
+    """The number of each row's grid: one map, folded to a constant, whatever the number of grids."""
+    held = {g: v for g, v in values.items() if v}
+    if not held:
+        return F.lit(0)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for gv in held.items() for x in gv)), F.col(column)), F.lit(0))
 
 
 def overlap_volumes(domain: Domain, overlap: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -313,14 +315,17 @@ def donor_candidates(domain: Domain, receiving: DataFrame, overlap: DataFrame, v
 
 def choose_donors(found: DataFrame, options: Options) -> DataFrame:
     """One row for each receiver with a donor: an ordered fold over its candidates in ascending m."""
-    pairs = {f"{m},{n}": options.pair("occludes", m, n) for m in options.grid_ids for n in options.grid_ids if options.pair("occludes", m, n) != "NONE"}
-    occludes = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)) if pairs else F.create_map(F.lit(""), F.lit(""))
-    fields = ["m", "near", "donor_volume", "disjoint", "kind", "ci", "cj", "ck", "u", "v", "w"]
-    order = F.sort_array(F.collect_list(F.struct(*fields)))
+    others: dict[int, dict[int, str]] = {}  # of each grid, the grids that occlude it, and how
+    for (m, n), kind in options.held_pairs("occludes"):
+        others.setdefault(n, {})[m] = kind
+    small = found.sparkSession.createDataFrame(list(others.items()), "m int, occluders map<int, string>")
+    found = found.join(F.broadcast(small), "m", "left")
+    fields = ["m", "near", "donor_volume", "disjoint", "kind", "ci", "cj", "ck", "u", "v", "w", "occluders"]
+    order = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["m"] - b["m"])  # one candidate from each m
 
     def step(now, new):
         allowed = ~new["disjoint"] | (new["near"] > 0)
-        how = F.coalesce(F.try_element_at(occludes, F.concat(now["m"].cast("string"), F.lit(","), new["m"].cast("string"))), F.lit("NONE"))
+        how = F.coalesce(F.try_element_at(new["occluders"], now["m"]), F.lit("NONE"))
         tie = F.when(how == "ALL", F.lit(False)).when(how == "NONE", F.lit(True)).otherwise(new["donor_volume"] < now["donor_volume"])
         better = F.when(F.abs(new["near"] - now["near"]) > DONOR_TOLERANCE, new["near"] > now["near"]).otherwise(tie)
         return F.when(allowed & (now["m"].isNull() | better), new).otherwise(now)
@@ -328,40 +333,49 @@ def choose_donors(found: DataFrame, options: Options) -> DataFrame:
     types = dict(found.dtypes)
     none = F.struct(*(F.lit(None).cast(types[f]).alias(f) for f in fields))
     folded = found.groupBy("n", "ni", "nj", "nk").agg(order.alias("_c")).withColumn("_d", F.aggregate("_c", none, step))
-    return folded.where("_d.m is not null").select("n", "ni", "nj", "nk", "_d.*")
+    return folded.where("_d.m is not null").select("n", "ni", "nj", "nk", "_d.*").drop("occluders")
 
 
-def assemble(domain: Domain, options: Options) -> Assembly:
-    """The whole assembly; the result doesn't depend on how rows are dealt."""
+def assemble(domain: Domain, options: Options, profile: Profile | None = None) -> Assembly:
+    """The whole assembly; the result doesn't depend on how rows are dealt. profile: gets the seconds of each stage."""
     options.validate()
     spark, meta, dims = domain.spark, domain.meta, domain.dims
+    profile = profile or Profile()
     points = materialise(reset_flags(domain.points))
-    cells = materialise(cells_of(points, meta, dims))
-    volumes = materialise(point_volumes(cells, meta, dims))
-    pairs = options.pair_table(spark)
-    scale = 2.0 ** -max([options.grid("overlap_accel_resolution_adjust", g.grid_id) for g in domain.grids], default=0.0)
-    overlap = materialise(detect_overlap(points, cells, meta, domain.grids, pairs, bin_scale=scale))
-    donor_volumes = materialise(overlap_volumes(domain, overlap, volumes))
-    seen = receivers_side(overlap).select(POINT).distinct()
-    inferred = infer_boundaries(domain, points, overlap, options)
-    points = materialise(update(points, (seen, S.OVERLAPPED, 0), (inferred, S.DOMAIN_BOUNDARY | S.INFERRED_DOMAIN_BOUNDARY, 0)))
-    points = materialise(update(points, (cut_holes(domain, points, overlap, options), S.BOUNDARY_HOLE, S.ACTIVE)))
-    valid = materialise(valid_overlap(domain, points, overlap))
-    fringe = materialise(outer_fringe(domain, points, options))
-    points = materialise(update(points, (fringe, S.FRINGE | S.OUTER_FRINGE, 0)))
-    pairwise, occluded, padded = occlusion(domain, points, overlap, valid, volumes, donor_volumes, fringe, options)
-    points = materialise(update(points, (occluded, S.OCCLUDED, 0)))
-    removed, inner = minimize_overlap(domain, points, pairwise, occluded, options)
-    points = materialise(update(points, (removed, S.OVERLAP_MINIMIZED, S.ACTIVE | S.OUTER_FRINGE), (inner, S.FRINGE | S.INNER_FRINGE, 0)))
-    valid = materialise(valid_overlap(domain, points, overlap))
-    receiving = materialise(receivers(points))
-    found = materialise(donor_candidates(domain, receiving, overlap, valid, donor_volumes, options))
-    donors = materialise(choose_donors(found, options))
-    made = None
-    for kind in ("NEAREST", "LINEAR"):
-        part = connections_of(donors.where(F.col("kind") == kind), kind, dims)
-        made = part if made is None else made.unionByName(part)
-    orphans = M.minus(receiving, donors.select(F.col("n").alias("grid_id"), *(F.col(f"n{a}").alias(a) for a in IJK)))
-    points = materialise(update(points, (receiving, S.RECEIVER, 0), (orphans, S.ORPHAN, 0)))
+    with profile.stage("overlap detection"):
+        cells = materialise(cells_of(points, meta, dims))
+        volumes = materialise(point_volumes(cells, meta, dims))
+        pairs = options.pair_table(spark)
+        scale = 2.0 ** -max([options.grid("overlap_accel_resolution_adjust", g.grid_id) for g in domain.grids], default=0.0)
+        overlap = materialise(detect_overlap(points, cells, meta, domain.grids, pairs, bin_scale=scale))
+        donor_volumes = materialise(overlap_volumes(domain, overlap, volumes))
+        seen = receivers_side(overlap).select(POINT).distinct()
+    with profile.stage("boundary inference"):
+        inferred = infer_boundaries(domain, points, overlap, options)
+        points = materialise(update(points, (seen, S.OVERLAPPED, 0), (inferred, S.DOMAIN_BOUNDARY | S.INFERRED_DOMAIN_BOUNDARY, 0)))
+    with profile.stage("hole cutting"):
+        points = materialise(update(points, (cut_holes(domain, points, overlap, options), S.BOUNDARY_HOLE, S.ACTIVE)))
+        valid = materialise(valid_overlap(domain, points, overlap))
+    with profile.stage("outer fringe"):
+        fringe = materialise(outer_fringe(domain, points, options))
+        points = materialise(update(points, (fringe, S.FRINGE | S.OUTER_FRINGE, 0)))
+    with profile.stage("occlusion"):
+        pairwise, occluded, padded = occlusion(domain, points, overlap, valid, volumes, donor_volumes, fringe, options)
+        points = materialise(update(points, (occluded, S.OCCLUDED, 0)))
+    with profile.stage("overlap minimization"):
+        removed, inner = minimize_overlap(domain, points, pairwise, occluded, options)
+        points = materialise(update(points, (removed, S.OVERLAP_MINIMIZED, S.ACTIVE | S.OUTER_FRINGE), (inner, S.FRINGE | S.INNER_FRINGE, 0)))
+        valid = materialise(valid_overlap(domain, points, overlap))
+    with profile.stage("connections"):
+        receiving = materialise(receivers(points))
+        found = materialise(donor_candidates(domain, receiving, overlap, valid, donor_volumes, options))
+        donors = materialise(choose_donors(found, options))
+        made = None
+        for kind in ("NEAREST", "LINEAR"):
+            part = connections_of(donors.where(F.col("kind") == kind), kind, dims)
+            made = part if made is None else made.unionByName(part)
+        made = materialise(made)
+        orphans = materialise(M.minus(receiving, donors.select(F.col("n").alias("grid_id"), *(F.col(f"n{a}").alias(a) for a in IJK))))
+        points = materialise(update(points, (receiving, S.RECEIVER, 0), (orphans, S.ORPHAN, 0)))
     stages = {"padded": padded, "occluded": occluded, "removed": removed, "inner_fringe": inner, "receivers": receiving, "candidates": found}
-    return Assembly(points, overlap, materialise(made), materialise(orphans), meta, stages)
+    return Assembly(points, overlap, made, orphans, meta, stages)

@@ -67,6 +67,10 @@ class Options:
     def grid(self, name: str, g: int):
         return self._grids[name].get(g, GRID_DEFAULTS[name])
 
+    def held_pairs(self, name: str) -> list[tuple[tuple[int, int], object]]:
+        """Pairs whose option isn't the default."""
+        return sorted(self._pairs[name].items())
+
     def validate(self) -> None:
         for m, n in self._pairs["cut_boundary_holes"]:
             if not (self.pair("overlappable", m, n) and self.pair("overlappable", n, m)):

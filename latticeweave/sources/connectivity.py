@@ -3,8 +3,8 @@
 Two layouts. STANDARD: every record stands between two 4-byte lengths, counts and ids are 4-byte integers. EXTENDED: one leading 4-byte length,
 then bare data with 8-byte counts and ids. Either byte order. All datasets lie dimension by dimension, indices count from 1.
 
-The driver reads headers and stencil sizes only and cuts each grid's datasets into chunks of at most ``CHUNK_ROWS`` rows; tasks seek to their chunk and decode it with numpy, so
-memory is bounded by the chunk. Both files must lie where all executors can open them. Donors and receivers are then matched by an equi-join on the connection id.
+The driver reads headers only and cuts each grid's datasets into chunks of at most ``CHUNK_ROWS`` rows; tasks add up each chunk's stencil sizes (three numbers a chunk come
+back), then seek to their chunk and decode it with numpy, so memory is bounded by the chunk. Both files must lie where all executors can open them. Donors and receivers are then matched by an equi-join on the connection id.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import FileOpenError, FileReadError
 from ..schema import Grid
 
 STANDARD, EXTENDED = "STANDARD", "EXTENDED"
@@ -26,9 +27,12 @@ DONORS = "grid_id int, connection_id long, begin array<int>, size array<int>, u
 RECEIVERS = "grid_id int, connection_id long, ni int, nj int, nk int"
 
 
-class ConnectivityFileError(ValueError):
+class ConnectivityFileError(FileReadError, ValueError):
     """The file is cut short, of another format, or doesn't fit the grids."""
 
+    def __init__(self, message: str):
+        super().__init__("connectivity file", message)
+
 
 @dataclass(frozen=True)
 class Part:
@@ -79,8 +83,11 @@ def read_at(path: str, kind: str, at: int, n: int) -> np.ndarray:
 
 def sniff(path: str) -> tuple[str, str]:
     """(byte order "<" or ">", layout): a little-endian file doesn't begin with a zero byte, and the first length tells the layout."""
-    with open(path, "rb") as f:
-        head = f.read(4)
+    try:
+        with open(path, "rb") as f:
+            head = f.read(4)
+    except OSError as e:
+        raise FileOpenError(path, f"can't be opened ({e.strerror})") from e
     if len(head) < 4:
         raise ConnectivityFileError(f"{path} is no connectivity file: it has {len(head)} bytes")
     order = "<" if head[0] else ">"
@@ -143,19 +150,23 @@ def _chunks(n: int, rows: int) -> Iterator[tuple[int, int]]:
         yield begin, min(n, begin + rows)
 
 
-def _donor_plan(parts: list[Part], order: str, stencil_path: str, rows: int) -> list[tuple]:
+def _donor_plan(spark: SparkSession, parts: list[Part], order: str, stencil_path: str, rows: int) -> list[tuple]:
     """(part number, begin, end, coefficients before the chunk in each direction's block)."""
-    plan = []
-    for k, p in enumerate(parts):
-        totals = [0, 0, 0]
-        chunks = []
-        for begin, end in _chunks(p.donors, rows):
-            before = list(totals)
-            for d in range(3):
-                totals[d] += int(read_at(stencil_path, f"{order}i4", p.sizes + 4 * (d * p.donors + begin), end - begin).sum(dtype=np.int64))
-            chunks.append((k, begin, end, before))
-        starts = np.cumsum([0, *totals])[:3]
-        plan += [(k, b, e, *(int(s + x) for s, x in zip(starts, before))) for k, b, e, before in chunks]
+
+    def sizes(row: dict) -> pa.RecordBatch:
+        p, n = parts[row["k"]], row["e"] - row["b"]
+        sums = [int(read_at(stencil_path, f"{order}i4", p.sizes + 4 * (d * p.donors + row["b"]), n).sum(dtype=np.int64)) for d in range(3)]
+        return pa.RecordBatch.from_pylist([row | {f"s{d}": x for d, x in enumerate(sums)}])
+
+    chunks = [(k, b, e) for k, p in enumerate(parts) for b, e in _chunks(p.donors, rows)]
+    plan, totals, part = [], [0, 0, 0], -1
+    found = sorted(map(tuple, _run(spark, chunks, "k int, b long, e long", sizes, "k int, b long, e long, s0 long, s1 long, s2 long").collect()))
+    whole = {k: np.sum([x[3:] for x in found if x[0] == k], axis=0) for k in {x[0] for x in found}}
+    for k, b, e, *sums in found:
+        if k != part:
+            part, totals = k, np.cumsum([0, *whole[k]])[:3].tolist()
+        plan.append((k, b, e, *map(int, totals)))
+        totals = [t + x for t, x in zip(totals, sums)]
     return plan
 
 
@@ -216,7 +227,7 @@ def read_connectivity(spark: SparkSession, donor_path: str, stencil_path: str, g
 
     plan = [(k, b, e) for k, p in enumerate(parts) for b, e in _chunks(p.receivers, chunk_rows)]
     return (
-        _run(spark, _donor_plan(parts, order, stencil_path, chunk_rows), "k int, b long, e long, c0 long, c1 long, c2 long", donors, DONORS),
+        _run(spark, _donor_plan(spark, parts, order, stencil_path, chunk_rows), "k int, b long, e long, c0 long, c1 long, c2 long", donors, DONORS),
         _run(spark, plan, "k int, b long, e long", receivers, RECEIVERS),
     )
 

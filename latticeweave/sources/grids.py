@@ -13,22 +13,21 @@ from ..operators.masks import IJK
 from ..schema import ACTIVE, GEOMETRIES, Grid
 
 
+#: Points of one task's piece of a grid.
+PIECE = 1 << 20
+
+
 def index_points(spark: SparkSession, grids: list[Grid]) -> DataFrame:
-    """(grid_id, i, j, k, pid) of every point, i fastest; each grid is a distributed range of its linear index."""
-    parts = []
-    for g in grids:
-        ni, nj, nk = (g.size(d) for d in range(3))
-        pid = F.col("id")
-        parts.append(
-            spark.range(ni * nj * nk).select(
-                F.lit(g.grid_id).alias("grid_id"),
-                (pid % ni + g.begin[0]).cast("int").alias("i"),
-                (F.floor(pid / ni) % nj + g.begin[1]).cast("int").alias("j"),
-                (F.floor(pid / (ni * nj)) + g.begin[2]).cast("int").alias("k"),
-                pid.alias("pid"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """(grid_id, i, j, k, pid) of every point, i fastest. One plan for all grids: one row for each grid becomes rows for its pieces, which are dealt out and become points."""
+    rows = [(g.grid_id, *g.begin, g.size(0), g.size(1), g.size(0) * g.size(1) * g.size(2)) for g in grids]
+    table = spark.createDataFrame(rows, "grid_id int, bi int, bj int, bk int, ni long, nj long, n long")
+    pieces = table.withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {PIECE})")))
+    if sum(r[-1] for r in rows) > PIECE:
+        pieces = pieces.repartition("grid_id", "piece")
+    pid = pieces.withColumn("pid", F.explode(F.expr(f"sequence(piece * {PIECE}, least(n, (piece + 1) * {PIECE}) - 1)")))
+    return pid.select(
+        "grid_id", F.expr("cast(pid % ni + bi as int)").alias("i"), F.expr("cast((pid div ni) % nj + bj as int)").alias("j"), F.expr("cast(pid div (ni * nj) + bk as int)").alias("k"), "pid"
+    )
 
 
 def index_cells(spark: SparkSession, grids: list[Grid]) -> DataFrame:
