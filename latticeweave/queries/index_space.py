@@ -33,6 +33,27 @@ def index_map_to_range(spark, sf_dir):
     return _rows(spark, sf_dir).select(*KEY, index.map_to_range(c("p"), F.lit(-20), F.lit(11), c("per"), c("s"), c("s") + 6).alias("mapped"))
 
 
+@query(f"""{_ROWS}, t AS (SELECT *, q % 6 AS wide, CASE WHEN per THEN ((s + 20) % 11 + 11) % 11 - 20 ELSE s END AS s0, CASE WHEN per THEN ((p + 20) % 11 + 11) % 11 - 20 ELSE p END AS p0 FROM r),
+u AS (SELECT *, CASE WHEN per THEN s + ((p - s) % 11 + 11) % 11 ELSE p END AS corner FROM t),
+b AS (SELECT *, CASE WHEN wide > 0 AND p < s + 6 AND s < p + wide THEN p WHEN corner >= s AND corner < s + 6 THEN corner WHEN wide > 0 AND p0 < s0 + 6 AND s0 < p0 + wide THEN p0
+  WHEN wide > 0 AND per AND p0 - 11 < s0 + 6 AND s0 < p0 - 11 + wide THEN p0 - 11 END AS mapped FROM u)
+SELECT l_orderkey, l_linenumber, mapped AS begin_at, mapped + wide AS end_at, mapped IS NOT NULL AS possible FROM b""")
+def index_map_range(spark, sf_dir):
+    begin, end = index.map_range([(F.lit(-20), F.lit(11), c("per"))], [(c("s"), c("s") + 6)], [(c("p"), c("p") + c("q") % 6)])[0][0]
+    possible = index.map_range([(F.lit(-20), F.lit(11), c("per"))], [(c("s"), c("s") + 6)], [(c("p"), c("p") + c("q") % 6)])[1]
+    return _rows(spark, sf_dir).select(*KEY, begin.alias("begin_at"), end.alias("end_at"), possible.alias("possible"))
+
+
+@query(f"""{_ROWS}, t AS (SELECT *, greatest(-20, p) AS b, least(21, p + 8) AS e FROM r)
+SELECT l_orderkey, l_linenumber, CASE WHEN b <> -20 OR per THEN b - 2 ELSE b END AS halo_b, CASE WHEN e <> 21 OR per THEN e + 2 ELSE e END AS halo_e, CASE WHEN b = -20 AND NOT per THEN b - 1 ELSE b END AS ring_b,
+  CASE WHEN e = 21 AND NOT per THEN e + 1 ELSE e END AS ring_e, e + 1 AS points_e, s AS second_b, s + 3 AS second_e FROM t""")
+def range_extents(spark, sf_dir):
+    """Halos, exterior rings, points of cells, and intervals put together."""
+    own, whole, per = [(F.greatest(F.lit(-20), c("p")), F.least(F.lit(21), c("p") + 8))], [(F.lit(-20), F.lit(21))], [c("per")]
+    halo, ring, both = index.extend_local_range(own, whole, per, 2)[0], index.with_exterior(own, whole, per)[0], index.concat(own, [(c("s"), c("s") + 3)])
+    return _rows(spark, sf_dir).select(*KEY, halo[0].alias("halo_b"), halo[1].alias("halo_e"), ring[0].alias("ring_b"), ring[1].alias("ring_e"), index.points_of_cells(own)[0][1].alias("points_e"), both[1][0].alias("second_b"), both[1][1].alias("second_e"))
+
+
 @query(f"""{_ROWS}, t AS (SELECT *, p + 20 AS i, s + 8 AS j, q % 7 AS k FROM r)
 SELECT l_orderkey, l_linenumber, (i + 41 * (j + 17 * k))::BIGINT AS by_column, (k + 7 * (j + 17 * i))::BIGINT AS by_row, p AS ti, s AS tj, k + 3 AS tk FROM t""")
 def index_linearise(spark, sf_dir):
@@ -111,6 +132,27 @@ def array_toolbox(spark, sf_dir):
     )
 
 
+@query(f"""{_ROWS} SELECT l_orderkey, l_linenumber, array_to_string([9, 8, q, p], ',') AS listed, array_to_string([s, s, s, s], ',') AS copied, array_to_string([7, 7, 7, 7], ',') AS same FROM r""")
+def array_fills(spark, sf_dir):
+    """Arrays filled from a list, from another array and with one value."""
+    a = F.array("p", "s", "q", "p")
+    named = {"listed": arrays.array_fill_list(a, [9, 8]), "copied": arrays.array_fill_from(a, F.array("s", "s", "s", "s")), "same": arrays.array_fill(a, 7)}
+    return _rows(spark, sf_dir).select(*KEY, *(F.array_join(x, ",").alias(n) for n, x in named.items()))
+
+
+@query(f"""{_ROWS} SELECT l_orderkey, l_linenumber, i::INT AS i FROM r, range(0, 6) t(i) WHERE i >= q % 4 AND i < p % 6""")
+def index_for_each(spark, sf_dir):
+    """One row for each index of an interval."""
+    return _rows(spark, sf_dir).select(*KEY, arrays.for_each_index(c("q") % 4, c("p") % 6).alias("i"))
+
+
+@query(f"""{_ROWS} SELECT l_orderkey, l_linenumber, (p % 5 = 0) AS missing FROM r""")
+def missing_values(spark, sf_dir):
+    """Null, not a number or infinite."""
+    x = F.when(c("p") % 10 == 0, F.lit(float("nan"))).when(c("p") % 5 == 0, F.when(c("s") > 0, F.lit(float("inf")))).otherwise(c("q") * 1.0)
+    return _rows(spark, sf_dir).select(*KEY, geometry.is_missing(x).alias("missing"))
+
+
 @query(f"""{_ROWS} SELECT l_orderkey, l_linenumber,
   (SELECT string_agg(i::VARCHAR, ',' ORDER BY x, i) FROM (VALUES (0, p), (1, s), (2, q), (3, p)) v(i, x)) AS places FROM r""")
 def array_order(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import text
 from ..functions.index import has
 from ..operators import masks as M
 from . import lattices as L
@@ -33,7 +34,7 @@ def _neighbours(radius: int, points: str = "pts") -> str:
     """CTE nbr: each point, boundary condition and neighbour's value."""
     wrap = lambda a, n, q: f"CASE WHEN m.per_{a} AND (p.{a} + o.{a} < 0 OR p.{a} + o.{a} >= m.{n}) THEN ((p.{a} + o.{a}) % m.{q} + m.{q}) % m.{q} WHEN b.bc = 'MIRROR' THEN greatest(0, least(m.{n} - 1, p.{a} + o.{a})) ELSE p.{a} + o.{a} END"
     return f"""off AS (SELECT a.i::INT AS i, b.j::INT AS j FROM range({-radius}, {radius + 1}) a(i), range({-radius}, {radius + 1}) b(j)), bcs(bc) AS (VALUES ('FALSE'), ('TRUE'), ('MIRROR')),
-nbr AS (SELECT p.grid_id, p.i, p.j, b.bc, coalesce((p.flags & 1) = 1, false) AS own, coalesce((q.flags & 1) = 1, b.bc = 'TRUE') AS value
+nbr AS (SELECT p.grid_id, p.i, p.j, b.bc, o.i = 0 AND o.j = 0 AS self, coalesce((p.flags & 1) = 1, false) AS own, coalesce((q.flags & 1) = 1, b.bc = 'TRUE') AS value
   FROM {points} p JOIN meta m USING (grid_id) CROSS JOIN off o CROSS JOIN bcs b
   LEFT JOIN pts q ON q.grid_id = p.grid_id AND q.i = {wrap('i', 'ni', 'qi')} AND q.j = {wrap('j', 'nj', 'qj')})"""
 
@@ -73,6 +74,22 @@ def mask_edge_exterior(spark, sf_dir):
     return M.outer_edge(mask, meta, M.FALSE, exterior=True).drop("k")
 
 
+@query(f"""{L.sql_points(True)}, {_RING}, {_neighbours(1, 'ringed')}, seen AS (SELECT grid_id, i, j, bc, bool_or(value) FILTER (self) AS own, bool_or(value) AS any_true, bool_and(value) AS every FROM nbr GROUP BY grid_id, i, j, bc)
+SELECT grid_id, i, j, bc, 'OUTER' AS edge FROM seen WHERE any_true AND NOT own UNION ALL SELECT grid_id, i, j, bc, 'INNER' FROM seen WHERE own AND NOT every""")
+def mask_edge_exterior_all(spark, sf_dir):
+    """Both edges with the ring of points outside, whose values are the boundary condition's."""
+    mask, meta = _mask(spark, sf_dir)
+    outer = _conditions(lambda bc: M.outer_edge(mask, meta, bc, exterior=True, keys=_keys(spark))).withColumn("edge", F.lit("OUTER"))
+    return outer.unionByName(_conditions(lambda bc: M.inner_edge(mask, meta, bc, exterior=True, keys=_keys(spark))).withColumn("edge", F.lit("INNER")))
+
+
+@query(f"{L.sql_points(True)} SELECT grid_id, j, string_agg(' ' || (CASE WHEN length((s % 100)::VARCHAR) >= 2 THEN (s % 100)::VARCHAR ELSE lpad((s % 100)::VARCHAR, 2, ' ') END) || ' ', '' ORDER BY i) AS line FROM pts GROUP BY grid_id, j")
+def print_field(spark, sf_dir):
+    """Each row of points as a line of text."""
+    points = L.summed(spark, sf_dir, wrapped=True)
+    return text.print_field(points.select("grid_id", *M.IJK, (F.col("s") % 100).alias("value")), width=2).drop("k")
+
+
 @query(_sql(2, "any_true"))
 def mask_dilate(spark, sf_dir):
     mask, meta = _mask(spark, sf_dir)

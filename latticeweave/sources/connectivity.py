@@ -160,7 +160,7 @@ def _donor_plan(spark: SparkSession, parts: list[Part], order: str, stencil_path
 
     chunks = [(k, b, e) for k, p in enumerate(parts) for b, e in _chunks(p.donors, rows)]
     plan, totals, part = [], [0, 0, 0], -1
-    found = sorted(map(tuple, _run(spark, chunks, "k int, b long, e long", sizes, "k int, b long, e long, s0 long, s1 long, s2 long").collect()))
+    found = sorted(map(tuple, _run(spark, chunks, "k int, b long, e long", sizes, "k long, b long, e long, s0 long, s1 long, s2 long").collect()))
     whole = {k: np.sum([x[3:] for x in found if x[0] == k], axis=0) for k in {x[0] for x in found}}
     for k, b, e, *sums in found:
         if k != part:
