@@ -175,3 +175,17 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = dict(df.dtypes)[id_col]
     return map_arrow(rows, make, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def _stands_sql(phrase: str) -> str:
+    return " AND ".join(f"{'word' if k == 0 else f'lead(word, {k}) OVER o'} = '{w}'" for k, w in enumerate(phrase.split()))
+
+
+#: The base columns by DuckDB.
+BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+places AS ({" UNION ALL ".join(f"SELECT r, i, '{label}' AS label FROM words WINDOW o AS (PARTITION BY r ORDER BY i) QUALIFY {_stands_sql(phrase)}" for phrase, label in BASE_PHRASES)}),
+found AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN found USING (r)
+"""

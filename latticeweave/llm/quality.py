@@ -136,3 +136,15 @@ def judge(df: DataFrame, forest: gbt.Forest, id_col: str = "doc_id", text_col: s
 
     kind = dict(df.dtypes)[id_col]
     return map_arrow(slim(df, id_col, text_col), make, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+
+
+#: The base columns by DuckDB.
+BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+seen AS (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS n FROM (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+again AS (SELECT r, count(DISTINCT i + o) AS n FROM seen, (VALUES (0), (1), (2)) v(o) WHERE n > 1 GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, len(w) < {MIN_WORDS} OR 100 * coalesce(again.n, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed
+FROM d LEFT JOIN again USING (r) LEFT JOIN lines USING (r)
+"""

@@ -50,5 +50,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_sharding, op6_byte_bpe, op7_simhash, op8_embedding_dedup, op9_toxicity, op10_lm_score)}
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": url_filter.ORACLE_SQL, "op5_sharding": sharding.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op2, which SQL can express."""
+    return op2_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3, which SQL can express."""
+    return op3_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_quality_rules, op4_url_filter, op5_sharding, op6_byte_bpe, op7_simhash, op8_embedding_dedup, op9_toxicity, op10_lm_score, license_base, quality_base)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": url_filter.ORACLE_SQL, "op5_sharding": sharding.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "license_base": license_scan.BASE_SQL, "quality_base": quality.BASE_SQL,
+}

@@ -10,7 +10,7 @@ from latticeweave.llm import queries
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_against_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     df = queries.QUERIES[name](spark, folder)
     found = con.execute(queries.ORACLE_SQL[name])
