@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="latticeweave-"))
+    own = tempfile.mkdtemp(prefix="latticeweave-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
