@@ -4,7 +4,8 @@ A text is first cut before each run of white space (always a border of the patte
 on its own and the ids of frequent chunks kept in a bounded table. Chunks go to the library as byte-level
 characters; every split of a vocabulary entry into two entries is a merge at the entry's own rank, as ranks alone define it.
 
-Null text counts as empty (no ids). Long texts are encoded whole; long chunks pass by the table. Repeated rows are encoded each on its own.
+Null text counts as empty (no ids). Long texts are encoded whole; long chunks pass by the table. Repeated rows are encoded each on its own; an empty
+table gives an empty result; ids may be of any type; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -119,6 +120,23 @@ def encode_frame(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_arrow(slim(df, id_col, text_col), make, f"doc_id {dict(df.dtypes)[id_col]}, ids array<int>")
 
 
+def offsets_frame(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, folder: str = "") -> DataFrame:
+    """doc_id, ids, and the characters [begin, end) that each id touches; ids that share a split character touch the same one."""
+
+    def make():
+        c = codec(tokenizer_path(vocabulary, folder))
+
+        def step(batch):
+            found = c.tokenizer.encode_batch([t or "" for t in batch.column(1).to_pylist()], add_special_tokens=False)
+            ends = pa.array(np.cumsum([0] + [len(e.ids) for e in found]), pa.int32())
+            flat = [[x for e in found for x in e.ids], *([o[k] for e in found for o in e.offsets] for k in (0, 1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in flat)], ["doc_id", "ids", "begin", "end"])
+
+        return step
+
+    return map_arrow(slim(df, id_col, text_col), make, f"doc_id {dict(df.dtypes)[id_col]}, ids array<int>, begin array<int>, end array<int>")
+
+
 def decode_frame(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY, folder: str = "") -> DataFrame:
     """doc_id and text of every list of ids (null counts as empty)."""
     from pyspark.sql import functions as F

@@ -13,8 +13,9 @@ blocks of the documents' pairs are dealt to the parts by shuffle. Pairs with a r
 The model: P(w | u) = (q(u, w) + (c(u) - K(u) + MU) * P(w)) / (c(u) + MU), with the quantised count q(u, w) and its sum K(u) over
 all w, so it is a distribution over w; P(w) comes from exact counts. A document begins in the context of the end token.
 
-Null text counts as empty (the end token alone). Null ids count as empty text for the split. Repeated rows are
-counted and scored each on its own. Without training documents all counts are zero. Other columns are not read.
+Null text counts as empty (the end token alone). Null ids count as empty text for the split; ids may be of any type. Repeated rows are
+counted and scored each on its own; very long texts are counted and scored whole. Without training documents all counts are zero; an empty
+table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

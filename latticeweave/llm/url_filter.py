@@ -5,11 +5,12 @@ any run without ``/``; everything else stands for itself. All rules are packed o
 into 64-bit words. One bit is the state "this many pattern bytes are matched"; a step shifts
 all words by one (with carry between words), keeps the bits whose byte fits, and adds the
 states that a wildcard lets stay where they are. The step is done for every URL of an
-Arrow batch together, so the Python loop runs over byte positions, not over URLs or rules.
+Arrow batch together, so the Python loop runs over byte positions, not over URLs or rules. Where few URLs are left, as long as ever, each is run to
+its end by itself, its state one integer of all words.
 
-Verdict: the base rule if one fits (the longest wins), else the longest of the extra globs, else allow.
-Null URLs and URLs without ``://`` have empty host and path and are allowed. Repeated rows are judged
-each on its own; an empty table gives an empty result; other columns are not read.
+Verdict: the base rule if one fits (the longest wins), else the longest of the extra globs (of equally long ones the first listed), else allow.
+Null URLs and URLs without ``://`` have empty host and path and are allowed. Very long URLs are read whole. Repeated rows are judged
+each on its own; an empty table gives an empty result; ids may be of any type; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ EXTRA_GLOBS = (
 )
 
 
+#: So many URLs at most are run to their end one by one.
+FEW = 4
+
+
 @dataclass(frozen=True)
 class Automaton:
     """Packed globs. ``fits[c]``: bits that byte c may enter; ``stays[c]``: bits that byte c may leave as they are."""
@@ -87,6 +92,9 @@ class Automaton:
         live = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
         one, top = np.uint64(1), np.uint64(63)
         for step, k in enumerate(live):
+            if k <= FEW:
+                self._finish(state[:k], flat, at[:k] + step, lengths[order[:k]] - step)
+                break
             c, s = flat[at[:k] + step], state[:k]
             moved = s << one
             if words > 1:
@@ -98,6 +106,17 @@ class Automaton:
         return out
 
 
+    def _finish(self, state: np.ndarray, flat: np.ndarray, at: np.ndarray, left: np.ndarray) -> None:
+        """Run each of these URLs on from its place to its end."""
+        whole = lambda words: int.from_bytes(words.astype("<u8").tobytes(), "little")
+        fits, stays = [whole(x) for x in self.fits], [whole(x) for x in self.stays]
+        for row, (begin, n) in enumerate(zip(at.tolist(), left.tolist())):
+            now = whole(state[row])
+            for c in flat[begin : begin + n].tolist():
+                now = (now << 1) & fits[c] | now & stays[c]
+            state[row] = np.frombuffer(now.to_bytes(8 * state.shape[1], "little"), "<u8")
+
+
 def base_globs(rules=BASE_RULES) -> list[tuple[str, str, str]]:
     """(verdict, rule as text, glob): each rule once for its host and once for all subdomains."""
     return [(v, host + path, lead + host + path + "**") for v, host, path in rules for lead in ("", "*.")]

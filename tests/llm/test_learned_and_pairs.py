@@ -8,8 +8,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from latticeweave.llm import embedding_dedup, lm_score, quality, simhash, toxicity
+from latticeweave.llm import embedding_dedup, lm_score, packing, quality, simhash, toxicity
+from latticeweave.llm.common import tokenizer_path
 
 
 def brute_links(rows, threshold=embedding_dedup.THRESHOLD):
@@ -186,10 +189,19 @@ def test_pipeline_stages(spark, sf):
     first = {i for i in ids if root(i) == i}
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == first
-    whole = Counter()
+    tokenizer, texts, pieces = Tokenizer.from_file(tokenizer_path(packing.VOCABULARY)), dict(kept), {}
     for r in out:
-        whole[r.doc_id] += r.length
-    assert all(whole[r.doc_id] == r.doc_tokens for r in out)
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, own in pieces.items():
+        ids = tokenizer.encode(texts[i] or "", add_special_tokens=False).ids + [packing.END_ID]
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and sum(r.length for r in own) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids) for r in own)
+    ends = Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= packing.WINDOW
 
 
 def test_stages_keep_columns(spark):

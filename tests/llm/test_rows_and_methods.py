@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from latticeweave.llm import gbt, grammar, license_scan, lm_score, packing, quality, sharding, simhash, toxicity
+from latticeweave.llm import bpe, gbt, grammar, license_scan, lm_score, packing, quality, sharding, simhash, toxicity, url_filter
 from latticeweave.llm.common import tokenizer_path
 from test_text_operators import odd_texts
 
@@ -241,3 +241,27 @@ def test_toxicity_scores_against_every_path(spark):
                 z += sum(w * v / s for w, v, s in zip(learned.model[1:5], x, learned.model[5:]))
             assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9 and got[i].n_matched == len(found)
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_url_filter_rows_and_long_urls(spark):
+    urls = ["http://a.net/x", "http://a.net/x", None, "http://casino.org/" + "p/" * 150_000 + "login", "http://" + "a." * 100_000 + "org/fr/1", "http://h/" + "x" * 9000 + ".exe", "http://x.com/a.zip"] + [f"http://h{k}.com/{'y' * k}" for k in range(40)]
+    df = spark.createDataFrame([(str(k), u, "h", "p", "r", "v", "q") for k, u in enumerate(urls)], "page_id string, url string, host string, path string, rule string, verdict string, pattern string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df.repartition(2)).collect()}
+    assert [got[str(k)].rule for k in (0, 1, 2, 4)] == ["net/", "net/", None, "org/fr/"]
+    assert [got[str(k)].verdict for k in range(8)] == ["block", "block", "allow", "block", "allow", "block", "block", "allow"]
+    assert got["3"].pattern in ("casino*.**", "**/login**") and got["5"].pattern == "**.exe"
+    assert url_filter.filter_urls(df.where("false")).count() == 0
+    machine = url_filter.Automaton.of([g for _, g in url_filter.EXTRA_GLOBS])
+    raw = [(u or "").encode() for u in urls]
+    together = machine.match(raw)
+    assert all((machine.match([u])[0] == together[k]).all() for k, u in enumerate(raw))
+
+
+def test_offsets_touch_their_characters(spark):
+    texts = ["a 😀b", "plain words", None, "", "é😀 中"]
+    for r in bpe.offsets_frame(clashing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect():
+        text = texts[r.doc_id] or ""
+        codec = bpe.codec(tokenizer_path(bpe.VOCABULARY))
+        assert codec.decode(r.ids) == text and len(r.ids) == len(r.begin) == len(r.end)
+        for i, b, e in zip(r.ids, r.begin, r.end):
+            assert b < e <= len(text) and codec.decode_bytes([i]) in text[b:e].encode()
