@@ -278,6 +278,41 @@ def test_against_model(spark, sf, case):
         assert {tuple(r) for r in again.points.select("grid_id", "i", "j", "flags").collect()} == {tuple(r) for r in got.points.select("grid_id", "i", "j", "flags").collect()}
 
 
+def flags_of(result, by):
+    out = {}
+    for r in result.points.collect():
+        out.setdefault((r.grid_id, *(r[c] for c in by)), set()).add(r.flags)
+    return out
+
+
+def test_extruded_boxes_assemble_as_their_sections(spark):
+    """Boxes repeated along a third, periodic direction: each layer is the two-dimensional assembly."""
+    flat, o = Q.box_in_box(spark, 13)
+    grids = [S.Grid(g.grid_id, (13, 13, 3), periodic=(False, False, True), geometry=g.geometry, periodic_length=(0.0, 0.0, 3.0)) for g in flat.grids]
+    layers = spark.range(3).select(F.col("id").cast("int").alias("k"))
+    points = flat.points.drop("k", "z").crossJoin(layers).withColumn("z", F.col("k").cast("double")).select("grid_id", "i", "j", "k", "x", "y", "z", "flags")
+    two, three = A.assemble(flat, o), A.assemble(A.Domain(spark, grids, points), o)
+    want = flags_of(two, "ij")
+    assert flags_of(three, "ij") == want and all(len(v) == 1 for v in want.values())
+    donors = {(r.n, r.ni, r.nj): (r.m, tuple(r.begin[:2]), len(r.wi), len(r.wj)) for r in two.connections.collect()}
+    rows = three.connections.collect()
+    assert {(r.n, r.ni, r.nj): (r.m, tuple(r.begin[:2]), len(r.wi), len(r.wj)) for r in rows} == donors and len(rows) == 3 * len(donors)
+    assert all(len(r.wk) == 2 and abs(sum(r.wk) - 1) < 1e-12 for r in rows)
+    assert three.orphans.count() == 3 * two.orphans.count()
+
+
+def test_duplicated_rings_assemble_as_unique_ones(spark):
+    """The first column of each ring once more at its end: flags stay what they were, and both copies agree."""
+    n = 21
+    unique, o = Q.blobs(spark, n)
+    grids = [unique.grids[0], *(S.Grid(g.grid_id, (g.size(0), n + 1, 1), periodic=(False, True, False), storage=S.DUPLICATED) for g in unique.grids[1:])]
+    twins = unique.points.where("grid_id > 1 and j = 0").withColumn("j", F.lit(n))
+    one, two = A.assemble(unique, o), A.assemble(A.Domain(spark, grids, unique.points.unionByName(twins)), o)
+    got = flags_of(two, "ij")
+    assert {k: v for k, v in got.items() if k[2] < n or k[0] == 1} == flags_of(one, "ij")
+    assert all(got[g, i, n] == got[g, i, 0] for g, i, j in got if g > 1 and j == 0)
+
+
 def test_options():
     o = Options([1, 2, 3])
     o.set_pair("overlappable", S.ALL_GRIDS, 2, True)
