@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.materialise import discard, materialise
-from .common import as_bytes, map_arrow, short_batches, slim, split_remainder
+from .common import as_bytes, short_batches, slim, split_remainder
 
 ENTRIES = 1 << 20  # no more: places of frequent tokens have 20 bits
 BASE = math.sqrt(2)
@@ -47,12 +48,10 @@ LEAST_BITS = 4096
 SLOT = 1 << 15
 #: Documents in one block: their numbers have 16 bits.
 BLOCK_DOCS = 1 << 16
-#: Tokens that a task gathers before it counts them, and words that its table holds.
+#: Tokens that a task gathers before it counts them.
 BLOCK_TOKENS = 3_000_000
-TABLE_ENTRIES = 600_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_END = b"\n"  # no word holds it
 _U = np.uint64
 
 
@@ -73,62 +72,57 @@ def rare_pair_keys(u: np.ndarray, w: np.ndarray, known: np.ndarray) -> np.ndarra
     return (mix(mix(u) + w) >> _U(2)) | (_U(1) << _U(63)) | (known.astype(_U) << _U(62))
 
 
-class WordTable(dict):
-    """Numbers words as they come; for each number the word's hash and its place and count among the frequent tokens (count 0: not among them)."""
+class Words:
+    """The tokens of some texts: ``numbers`` of all in a row, the empty word as the end of each text, and where each text ``begins``.
+    For each number the word's hash and its place and count among the frequent tokens (count 0: not among them)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        super().__init__()
-        self.keys_, self.counts_ = keys, counts
-        self.hash, self.count, self.place = np.zeros(1024, _U), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts in a row, an end after each, and the place where each text begins."""
+    def __init__(self, texts: pa.Array, keys: np.ndarray, counts: np.ndarray):
         import xxhash
 
-        if len(self) > TABLE_ENTRIES:
-            self.clear()
-        had = len(self)
-        cut = [(t or b"").translate(_LOWER).split() + [_END] for t in texts]
-        begins = np.zeros(len(cut) + 1, np.int64)
-        np.cumsum([len(c) for c in cut], out=begins[1:])
-        out = np.fromiter((self[w] for c in cut for w in c), np.int64, begins[-1])
-        if len(self) > had:
-            import itertools
-
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in itertools.islice(self, had, None)), _U, len(self) - had)
-            if len(self) > len(self.hash):
-                self.hash, self.count, self.place = (np.resize(x, 2 * len(self)) for x in (self.hash, self.count, self.place))
-            self.hash[had : len(self)] = h
-            at = np.minimum(np.searchsorted(self.keys_, h), max(len(self.keys_) - 1, 0))
-            self.place[had : len(self)] = at
-            self.count[had : len(self)] = np.where(self.keys_[at] == h, self.counts_[at], 0) if len(self.keys_) else 0
-        return out, begins
+        # a blank behind a text makes its last word the empty one; a text without words is that word alone
+        lower = ((t or b"").translate(_LOWER).lstrip() for t in as_bytes(texts))
+        ended = pa.array([t + b"\n" if t else t for t in lower], pa.large_binary()).view(pa.large_string())
+        cut = pc.ascii_split_whitespace(ended)
+        self.begins = np.zeros(len(cut) + 1, np.int64)
+        np.cumsum(cut.value_lengths().to_numpy(), out=self.begins[1:])
+        coded = cut.flatten().cast(pa.large_binary()).dictionary_encode()
+        self.numbers = coded.indices.to_numpy().astype(np.int64)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), _U, len(coded.dictionary))
+        self.place, self.count = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash), np.int64)
+        if len(keys):
+            order = np.argsort(self.hash)  # sorted, they are found faster
+            at = np.minimum(np.searchsorted(keys, self.hash[order]), len(keys) - 1)
+            self.place[order] = at
+            self.count[order] = np.where(keys[at] == self.hash[order], counts[at], 0)
+
+    def contexts(self) -> np.ndarray:
+        """The number of the token before each; before the first word of a text stands the end token."""
+        before = np.empty_like(self.numbers)
+        before[1:] = self.numbers[:-1]
+        before[0] = self.numbers[-1]
+        return before  # what stands before another text's first word is the end of the text before it
 
 
 def _count(texts: DataFrame) -> DataFrame:
     """(key, n): counts of tokens."""
 
     def run(batches):
-        table, held, size = None, [], 0
+        held, size = [], 0
 
         def counted():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
+            key, n = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], ["key", "n"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if table is None:
-                table = WordTable(np.zeros(0, _U), np.zeros(0, np.int64))
-            numbers, _ = table.numbers(as_bytes(batch.column(0)))
-            h = table.hash[numbers]
-            held.append(h)
-            size += len(h)
+            words = Words(batch.column(0), np.zeros(0, _U), np.zeros(0, np.int64))
+            held.append((words.hash, np.bincount(words.numbers, minlength=len(words.hash))))
+            size += len(words.hash)
             if size >= BLOCK_TOKENS:
                 yield counted()
                 size = 0
@@ -148,7 +142,7 @@ def _count_pairs(texts: DataFrame, frequent, parts: int) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(_PAIRS))
 
     def run(batches):
-        table, held, rare, size = None, [], [], 0
+        held, rare, size = [], [], 0
 
         def counted():
             key, n = np.unique(np.concatenate(held), return_counts=True)
@@ -165,10 +159,8 @@ def _count_pairs(texts: DataFrame, frequent, parts: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if table is None:
-                table = WordTable(*frequent.value)
-            numbers, begins = table.numbers(as_bytes(batch.column(0)))
-            before = _contexts(numbers, begins, table)
+            table = Words(batch.column(0), *frequent.value)
+            numbers, before = table.numbers, table.contexts()
             known = table.count[before] > 0
             both = known & (table.count[numbers] > 0)
             held.append(pair_keys(table.place[before[both]], table.place[numbers[both]]))
@@ -186,14 +178,6 @@ def _count_pairs(texts: DataFrame, frequent, parts: int) -> DataFrame:
     return texts.mapInArrow(run, _PAIRS)
 
 
-def _contexts(numbers: np.ndarray, begins: np.ndarray, table: WordTable) -> np.ndarray:
-    """The number of the token before each; before the first word of a text stands the end token."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    before[begins[:-1]] = table[_END]
-    return before
-
-
 def levels_of(n: np.ndarray, least: int) -> np.ndarray:
     return 1 + np.floor(np.log(n / least) / np.log(BASE) + 1e-9).astype(np.int64)
 
@@ -396,7 +380,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
 
     def cut(batches):
         """Documents, each with its pairs of rare tokens, and blocks of the other pairs."""
-        table, task, block, held, size, row = None, TaskContext.get().partitionId() << 33, 0, [], 0, 0
+        task, block, held, size, row = TaskContext.get().partitionId() << 33, 0, [], 0, 0
 
         def rows(found):
             return pa.RecordBatch.from_pylist(found, schema=schema)
@@ -404,13 +388,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = WordTable(*frequent.value) if table is None else table
             if size >= BLOCK_TOKENS or row + batch.num_rows > BLOCK_DOCS:
                 for found in _blocks(held, task + block, row, parts) if size else ():
                     yield rows([found])
                 block, held, size, row = block + 1, [], 0, 0
-            numbers, begins = table.numbers(as_bytes(batch.column(1)))
-            before = _contexts(numbers, begins, table)
+            table = Words(batch.column(1), *frequent.value)
+            numbers, begins, before = table.numbers, table.begins, table.contexts()
             c, context = table.count[numbers], table.count[before]
             head = c > 0
             both = head & (context > 0)
