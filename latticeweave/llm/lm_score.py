@@ -39,7 +39,8 @@ BASE = math.sqrt(2)
 BITS_PER_ITEM = 14
 PROBES = 7
 MU = 20.0
-SEGMENTS = 64
+#: Least number of parts. Numbers of parts are odd: were they powers of two, a pair's second token alone would tell its part.
+SEGMENTS = 61
 #: Training tokens for each part of the filter, once there are more parts than ``SEGMENTS``.
 PART_TOKENS = 1 << 23
 #: Bits that any part has: in very small parts false positives would be common.
@@ -149,7 +150,7 @@ def _count_pairs(texts: DataFrame, frequent, parts: int) -> DataFrame:
             key, ends, n = _by_part(key, parts, n)
             for p in np.flatnonzero(np.diff(ends)).tolist():
                 k, c = key[ends[p] : ends[p + 1]], n[ends[p] : ends[p + 1]]
-                yield pa.RecordBatch.from_pylist([{"part": p, "n": len(k), "data": [_pack(np.diff(k, prepend=_U(0))), _pack(c.astype("<u4"))]}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"part": p, "n": len(k), "data": [_pack_keys(k, parts), _pack(c.astype("<u4"))]}], schema=schema)
             keys, us = (np.concatenate(x) for x in zip(*rare))
             key, at, n = np.unique(keys, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key.view(np.int64)), pa.array(us[at]), pa.array(n), pa.nulls(len(key), schema.field("data").type)], schema=schema)
@@ -243,12 +244,11 @@ def build_filter(pairs: DataFrame, least: int) -> LogFrequencyFilter:
     return LogFrequencyFilter(part_bits(found["key"].to_numpy(np.int64).view(_U), found["n"].to_numpy(np.int64), least)[None], least)
 
 
-def _merge(batches):
+def _merge(parts: int):
     """From packed counts sorted by part: each part's bits (slot -1), and the quantised counts' sums by first token (packed, by slot of places)."""
     schema = pa.schema([("part", pa.int64()), ("slot", pa.int64()), ("data", pa.list_(pa.binary()))])
-    now, held = None, []
 
-    def merged():
+    def merged(now, held):
         key, n = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.argsort(key, kind="stable")
@@ -263,14 +263,18 @@ def _merge(batches):
             a, b = np.searchsorted(u, [s * SLOT, (s + 1) * SLOT])
             yield pa.RecordBatch.from_pylist([{"part": now, "slot": s, "data": [u[a:b].astype("<i4").tobytes(), q[a:b].astype("<f8").tobytes()]}], schema=schema)
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["part"] != now and held:
-                yield from merged()
-            now = r["part"]
-            held.append((np.cumsum(_unpack(r["data"][0], r["n"], "<u8"), dtype=_U), _unpack(r["data"][1], r["n"], "<u4")))
-    if held:
-        yield from merged()
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != now and held:
+                    yield from merged(now, held)
+                now = r["part"]
+                held.append((_unpack_keys(r["data"][0], r["n"], parts, now), _unpack(r["data"][1], r["n"], "<u4")))
+        if held:
+            yield from merged(now, held)
+
+    return run
 
 
 _MERGED = "part long, slot long, data array<binary>"
@@ -322,6 +326,15 @@ def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
 
 
+def _pack_keys(key: np.ndarray, parts: int) -> bytes:
+    """Sorted keys of one part: all leave the same remainder, so differences of the quotients tell them."""
+    return _pack(np.diff(key // _U(parts), prepend=_U(0)))
+
+
+def _unpack_keys(data: bytes, n: int, parts: int, part: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, n, "<u8"), dtype=_U) * _U(parts) + _U(part)
+
+
 def _blocks(held: list, block: int, docs: int, parts: int):
     """Rows of one block, one for each part: its distinct keys (differences of the sorted), how often each comes, and the documents it comes in."""
     key, doc = (np.concatenate(x) for x in zip(*held))
@@ -331,7 +344,7 @@ def _blocks(held: list, block: int, docs: int, parts: int):
         k, d = key[ends[p] : ends[p + 1]], doc[ends[p] : ends[p + 1]]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         times = np.diff(np.r_[first, len(k)]).astype("<u4")
-        yield {"part": p, "kind": 1, "block": block, "size": docs, "n": [len(first), len(k)], "data": [_pack(np.diff(k[first], prepend=_U(0))), _pack(times), _pack(d)]}
+        yield {"part": p, "kind": 1, "block": block, "size": docs, "n": [len(first), len(k)], "data": [_pack_keys(k[first], parts), _pack(times), _pack(d)]}
 
 
 def _least_frequent(tokens: DataFrame, total: int, entries: int) -> int:
@@ -362,10 +375,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
     keys, counts = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, _U), np.zeros(0, np.int64))
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], counts[order]))
-    parts = max(SEGMENTS, math.ceil(total / PART_TOKENS))
+    parts = max(SEGMENTS, math.ceil(total / PART_TOKENS)) | 1
     packed = materialise(_count_pairs(train, frequent, parts))
     pairs = materialise(packed.where("part is null").groupBy("key").agg(F.max("u").alias("u"), F.sum("n").alias("n")))  # those with a rare token
-    merged = materialise(packed.where("part is not null").select("part", "n", "data").repartition("part").sortWithinPartitions("part").mapInArrow(_merge, _MERGED))
+    merged = materialise(packed.where("part is not null").select("part", "n", "data").repartition("part").sortWithinPartitions("part").mapInArrow(_merge(parts), _MERGED))
     filters = merged.where("slot < 0")
     mass = np.zeros(len(keys) + SLOT)  # K(u)
     for r in merged.where("slot >= 0").repartition("slot").sortWithinPartitions("slot", "part").mapInArrow(_slot_sums, "slot long, sums binary").toLocalIterator():
@@ -437,7 +450,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
                 if r["kind"] == 0:
                     bits = np.frombuffer(r["data"][0], np.uint8)
                     continue
-                key = np.cumsum(_unpack(r["data"][0], r["n"][0], "<u8"), dtype=_U)
+                key = _unpack_keys(r["data"][0], r["n"][0], parts, now)
                 times, doc = _unpack(r["data"][1], r["n"][0], "<u4"), _unpack(r["data"][2], r["n"][1], "<u2")
                 u, w = (key >> _U(20)).astype(np.int64), (key & _U((1 << 20) - 1)).astype(np.int64)
                 joint = np.minimum(LogFrequencyFilter(bits[None], 1).counts(key), np.minimum(n[u], n[w]))
