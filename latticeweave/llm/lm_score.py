@@ -420,7 +420,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
             there = context[rare] > 0
             k = np.where(there, kept.value[table.place[u]], 0.0) if len(kept.value) else np.zeros(len(rare))
             key = rare_pair_keys(table.hash[u], table.hash[w], there)
-            tail = [key.view(np.int64), table.hash[u].view(np.int64), table.hash[w].view(np.int64), context[rare], k, c[rare]]
+            hash_u, hash_w = (np.where(known, 0, table.hash[x].view(np.int64)) for x, known in ((u, there), (w, c[rare] > 0)))  # known ones aren't looked up
+            tail = [key.view(np.int64), hash_u, hash_w, context[rare], k, c[rare]]
             ends = pa.array(np.searchsorted(rare, begins).astype(np.int32))
             tail = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x) for x in tail], names=names))
             n = batch.num_rows
@@ -490,12 +491,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
         probed.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(gather, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail {tail_type}")
     )
     discard(merged)
-    # pairs with a rare token: a count below 0 is unknown here, and joined; the other rows are spread by the pair's key, which no token has
+    # pairs with a rare token: each rare token's count is joined, then the pair's own; known tokens (count above 0) are looked up nowhere
     rare_kept = pairs.where(F.col("key") < -(1 << 62)).groupBy("u").agg(F.sum(_quantised()).alias("k"))
     rare = tokens.where(F.col("n") < common).join(rare_kept, F.col("key") == F.col("u"), "left").select(F.col("key").alias("h"), "n", F.coalesce("k", F.lit(0.0)).alias("k"))
+    of_w, of_u = rare.select(F.col("h").alias("w"), F.col("n").alias("n_w")), rare.select(F.col("h").alias("u"), F.col("n").alias("n_u"), "k")
     tail = scored.select("row", F.inline("tail"))
-    tail = tail.join(rare.select(F.col("h").alias("at_w"), F.col("n").alias("n_w")), F.when(F.col("w_count") > 0, F.col("key")).otherwise(F.col("w")) == F.col("at_w"), "left")
-    tail = tail.join(rare.select(F.col("h").alias("at_u"), F.col("n").alias("n_u"), "k"), F.when(F.col("u_count") > 0, F.col("key")).otherwise(F.col("u")) == F.col("at_u"), "left")
+    tail = tail.where("w_count > 0").unionByName(tail.where("w_count = 0").join(of_w, "w", "left"), allowMissingColumns=True)
+    tail = tail.where("u_count > 0").unionByName(tail.where("u_count = 0").join(of_u, "u", "left"), allowMissingColumns=True)
     tail = tail.join(pairs.select("key", _quantised().alias("q")), "key", "left")
     zero = F.lit(0)
     tail = tail.select(
