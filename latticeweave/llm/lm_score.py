@@ -42,7 +42,7 @@ MU = 20.0
 #: Least number of parts. Numbers of parts are odd: were they powers of two, a pair's second token alone would tell its part.
 SEGMENTS = 61
 #: Training tokens for each part of the filter, once there are more parts than ``SEGMENTS``.
-PART_TOKENS = 1 << 23
+PART_TOKENS = 1 << 21
 #: Bits that any part has: in very small parts false positives would be common.
 LEAST_BITS = 4096
 #: Places of tokens in one slot, when sums over the parts are put together.
