@@ -1,10 +1,10 @@
 """Byte-level BPE: encoding by the tokenizers library over Arrow batches, decoding by the reversed byte table.
 
 A text is first cut before each run of white space (always a border of the pattern's matches), so that a chunk can be encoded
-on its own and the ids of frequent chunks kept in a bounded table. Chunks go to the library as byte-level
+on its own and the ids of frequent chunks kept in two bounded tables. Chunks go to the library as byte-level
 characters; every split of a vocabulary entry into two entries is a merge at the entry's own rank, as ranks alone define it.
 
-Null text counts as empty (no ids). Long texts are encoded whole; long chunks pass by the table. Repeated rows are encoded each on its own; an empty
+Null text counts as empty (no ids). Long texts are encoded whole; long chunks are not kept. Repeated rows are encoded each on its own; an empty
 table gives an empty result; ids may be of any type; other columns are not read, whatever their names.
 """
 
@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 _WS = r" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
 
+#: Chunks in a table; once it is full, a new one begins and takes over what is asked for again. Two are kept at most.
 TABLE_ENTRIES = 300_000
 LONGEST_KEPT = 48
 
@@ -65,21 +67,30 @@ class ByteCodec:
         for token, i in text_of.items():
             self.token_bytes[ranks[token]] = bytes(map(self.of_character.__getitem__, i))
         self.table: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the table that was full before this one
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+        return [flat[a:b] for a, b in pairwise(ends)]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_CHUNK(t) for t in texts]
         wanted = {c for chunks in cut for c in chunks}
         if len(self.table) + len(wanted) > TABLE_ENTRIES:
-            self.table = {}
-        new = sorted(wanted.difference(self.table))
-        done = dict(zip(new, self._encode_chunks(new)))
-        self.table.update((c, v) for c, v in done.items() if len(c) <= LONGEST_KEPT)
-        held = self.table if all(len(c) <= LONGEST_KEPT for c in new) else self.table | done
-        return [b"".join(map(held.__getitem__, chunks)) for chunks in cut]
+            self.before, self.table = self.table, {}
+        table, before = self.table, self.before
+        missing = wanted.difference(table)
+        new = sorted(missing.difference(before))
+        table.update((c, before[c]) for c in missing.intersection(before))
+        table.update(zip(new, self._encode_chunks(new)))
+        out = [b"".join(map(table.__getitem__, chunks)) for chunks in cut]
+        for c in new:
+            if len(c) > LONGEST_KEPT:
+                del table[c]
+        return out
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and, for each, the characters it touches; the parts of a split character all touch that character."""
