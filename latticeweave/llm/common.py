@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "")
 #: Rows of one Arrow batch. Long documents make wide rows, so batches stay short.
 BATCH_ROWS = 1000
 
+#: Bytes of a piece in which long texts are read: lists of words take many times the bytes of the text.
+PIECE = 1 << 20
+
 
 def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
     """Place of a vocabulary file: in ``folder``, else where the installed package keeps it."""
@@ -61,6 +65,18 @@ def as_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def pieces_of(text: bytes, cut: re.Pattern[bytes], size: int = PIECE) -> Iterator[bytes]:
+    """The whole text in pieces of ``size`` bytes and what is left up to the next match of ``cut``, which begins the next piece."""
+    start = 0
+    while len(text) - start > size:
+        found = cut.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:] if start else text
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow whose per-task state comes from ``make()``; empty batches are skipped."""
 

@@ -13,12 +13,13 @@ the first two, 2 in three, 3 in four. So:
 4. Links are joined to components in rounds (operators.components).
 
 Null text counts as empty: it has the fingerprint zero, like any text without words. Classes are known by their fingerprints, so ids
-may be of any type and null: rows without an id have no component_id, but link others like any row. Very long texts are hashed whole.
+may be of any type and null: rows without an id have no component_id, but link others like any row. Very long texts are hashed whole, piece by piece.
 Repeated rows fall into one class. An empty table gives an empty result; other columns are not read (keep_first hands them on).
 """
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.components import connected_components
 from ..operators.materialise import materialise
-from .common import as_bytes, fresh, map_arrow, short_batches, slim
+from .common import PIECE, as_bytes, fresh, map_arrow, pieces_of, short_batches, slim
 
 DISTANCE = 3
 SHINGLE = 3
@@ -41,28 +42,30 @@ ENUMERATE = 200_000
 #: Members of the front whose neighbours are looked up at once.
 FRONT = 64
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit fingerprint: a bit is set if set in over half of the shingles' hashes."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, size: int = PIECE) -> int:
+    """Unsigned 64-bit fingerprint: a bit is set if set in over half of the shingles' hashes. Long texts are read in pieces of ``size`` bytes."""
     import xxhash
 
-    words = text.translate(_LOWER).split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in shingles], "<u8")
-    set_bits = np.zeros(64, np.int64)
-    for k in range(0, len(h), 65536):
-        part = h[k : k + 65536]
-        set_bits += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > len(h), bitorder="little").tobytes(), "little")
+    set_bits, n, words = np.zeros(64, np.int64), 0, []
+    for piece in pieces_of(text, _SPACE, size):
+        words += piece.translate(_LOWER).split()
+        if len(words) < shingle:
+            continue
+        h = np.array([digest(s, seed) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle))))], "<u8")
+        n += len(h)
+        for k in range(0, len(h), 65536):
+            part = h[k : k + 65536]
+            set_bits += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words = words[len(words) - shingle + 1 :]  # the next piece's first shingles begin in them
+    if not n:
+        return digest(b" ".join(words), seed) if words else 0
+    return int.from_bytes(np.packbits(2 * set_bits > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
