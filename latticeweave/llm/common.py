@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Folder of the public vocabulary files; every tokenizer operator takes it as a parameter.
 TOKENIZER_DIR = os.environ.get("PUBLIC_TOKENIZERS", "")
@@ -77,7 +78,7 @@ def pieces_of(text: bytes, cut: re.Pattern[bytes], size: int = PIECE) -> Iterato
     yield text[start:] if start else text
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose per-task state comes from ``make()``; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

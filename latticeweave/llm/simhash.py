@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.components import connected_components
 from ..operators.materialise import materialise
-from .common import PIECE, as_bytes, fresh, map_arrow, pieces_of, short_batches, slim
+from .common import PIECE, as_bytes, fresh, map_arrow, pieces_of, slim
 
 DISTANCE = 3
 SHINGLE = 3
@@ -39,6 +39,9 @@ SPLIT = 256
 #: Above this many classes in one bucket, neighbours are enumerated and looked up; below, classes are compared with each other.
 ENUMERATE = 200_000
 
+#: Tables of at most so many rows are told by bits which of them are kept: 8 MB. Beyond, kept places are joined by shuffle.
+BROADCAST_ROWS = 1 << 26
+
 #: Members of the front whose neighbours are looked up at once.
 FRONT = 64
 
@@ -81,18 +84,18 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_arrow(slim(df, id_col, text_col), make, f"doc_id {dict(df.dtypes)[id_col]}, fp long")
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df, all columns as they are, and the fingerprint as a signed long in one more column: the last."""
-    at, name = df.columns.index(text_col), fresh(df, "fp")
+def placed_fingerprints(df: DataFrame, id_col: str, text_col: str, file_col: str, index_col: str) -> DataFrame:
+    """id, f and r (the row's place) and fp (the fingerprint as a signed long); the texts go no further."""
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                fp = np.array([fingerprint(t or b"") for t in as_bytes(batch.column(at).cast(pa.string()))], _U)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
+    def make():
+        def step(batch):
+            fp = np.array([fingerprint(t or b"") for t in as_bytes(batch.column(3))], _U)
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp.view(np.int64))], ["id", "f", "r", "fp"])
 
-    short_batches(df.sparkSession)
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+        return step
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(file_col).alias("f"), F.col(index_col).alias("r"), F.col(text_col).cast("string").alias("text"))
+    return map_arrow(rows, make, StructType([*rows.schema.fields[:3], StructField("fp", LongType())]))
 
 
 def _pieces(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,16 +255,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("component_id"))
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def _bits_of(places: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row for each file f: a bit for each of its rows, in longs of 64, set for those kept. places: every row's f and r, kept: those of the kept rows."""
+    word = F.expr("r div 64").alias("word")
+    words = places.select("f", word, F.lit(0).cast("long").alias("bits")).unionByName(kept.select("f", word, F.expr("shiftleft(1L, cast(r % 64 as int))").alias("bits")))
+    words = words.groupBy("f", "word").agg(F.expr("bit_or(bits)").alias("bits"))  # all words of a file are there, as all its rows are
+    return words.groupBy("f").agg(F.expr("transform(array_sort(collect_list(struct(word, bits))), x -> x.bits)").alias("kept"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row of each component, all columns as they are: that of the least id (null ids last), of several rows of that id the first written.
 
-    Rows are written once with their fingerprints and known by their place in those files, so repeated and null ids do no harm.
+    Rows are written once and known by their place in those files, so repeated and null ids do no harm. Which are kept is told by a bit for each row,
+    so texts aren't shuffled; tables of more than ``broadcast_rows`` rows are joined with the kept places by shuffle.
     """
-    held = materialise(with_fingerprint(df, text_col))
-    fp, file, index = held.columns[-1], fresh(held, "_file"), fresh(held, "_index")
+    held = materialise(df)
+    file, index, bits, of = (fresh(held, name) for name in ("_file", "_index", "_bits", "_of"))
     place = held.metadataColumn("_metadata")
     held = held.select("*", place["file_name"].alias(file), place["row_index"].alias(index))
-    at = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(file).alias("f"), F.col(index).alias("r"))
-    first = _named(held.select(F.col(fp).alias("fp"), at.alias("at")).groupBy("fp").agg(F.min("at").alias("rep")), distance)
-    first = first.select(F.col("first.f").alias(file), F.col("first.r").alias(index)).distinct()
-    return held.join(first, [file, index], "left_semi").select(df.columns)
+    prints = materialise(placed_fingerprints(held, id_col, text_col, file, index))
+    at = F.struct(F.col("id").isNull().alias("none"), "id", "f", "r")
+    first = _named(prints.select("fp", at.alias("at")).groupBy("fp").agg(F.min("at").alias("rep")), distance)
+    first = first.select("first.f", "first.r")
+    if prints.count() > broadcast_rows:
+        return held.join(first.select(F.col("f").alias(file), F.col("r").alias(index)).distinct(), [file, index], "left_semi").drop(file, index)
+    kept = materialise(_bits_of(prints, first)).toDF(of, bits)
+    is_kept = F.expr(f"getbit(get({bits}, cast({index} div 64 as int)), cast({index} % 64 as int)) = 1")
+    return held.join(F.broadcast(kept), (F.col(file) == F.col(of)) & is_kept, "left_semi").drop(file, index)

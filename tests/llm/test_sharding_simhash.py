@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 import xxhash
 
 from latticeweave.llm import sharding, simhash
@@ -146,3 +147,24 @@ def test_links_by_enumeration_of_both_signs(spark, monkeypatch):
     fps = [rng.getrandbits(48) << 16 | 5 for _ in range(150)]
     fps += [f ^ (1 << 20) ^ (1 << 40) ^ (1 << rng.choice([50, 63])) for f in fps]
     check_links(spark, fps, split=10**9)
+
+
+@pytest.mark.parametrize("broadcast_rows", [simhash.BROADCAST_ROWS, 10])
+def test_keep_first_by_bits(spark, broadcast_rows):
+    """Files of several words of bits, null and repeated ids, columns with dots and of the names used within: the same rows by bits and by shuffle, and no text is shuffled for bits."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choices("abcdefghijklmnop", k=40)) for _ in range(300)]
+    rows = [(rnd.choice([None, *range(200)]), rnd.choice(texts), k, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, f long").repartition(3)
+    kept = simhash.keep_first(df, broadcast_rows=broadcast_rows)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text, r["a.b"], r.f) for r in kept.collect()]
+    assert len(set(got)) == len(got) and set(got) <= set(rows)
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert all((a ^ b).bit_count() > 3 for k, a in enumerate(prints) for b in prints[:k])  # so each text is a component
+    want = {}
+    for i, t, _, _ in rows:
+        want[t] = min(want.get(t, (True, 0)), (i is None, i or 0))
+    assert {t: (i is None, i or 0) for i, t, _, _ in got} == want and len(got) == len(want)
+    if broadcast_rows > 1000:
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
