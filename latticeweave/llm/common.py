@@ -97,7 +97,7 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list],
 
     Verdict and row stay together: nothing is joined, so null or repeated ids and columns of any name do no harm.
     """
-    at = df.columns.index(text_col)
+    at, names = df.columns.index(text_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = None
@@ -105,7 +105,9 @@ def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list],
             if batch.num_rows:
                 test = test or make()
                 texts = batch.column(at)
-                yield batch.filter(pa.array(test(as_bytes(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))), pa.bool_()))
+                kept = batch.filter(pa.array(test(as_bytes(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))), pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns, names)
 
     short_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    # mapInArrow looks columns up by name, and would take a dot in one for a field of a struct
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, df.schema)

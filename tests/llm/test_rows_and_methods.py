@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from latticeweave.llm import bpe, gbt, grammar, license_scan, lm_score, packing, quality, sharding, simhash, toxicity, url_filter
+from latticeweave.llm import bpe, common, gbt, grammar, license_scan, lm_score, packing, quality, sharding, simhash, toxicity, url_filter
 from latticeweave.llm.common import tokenizer_path
 from test_text_operators import odd_texts
 
@@ -265,3 +265,10 @@ def test_offsets_touch_their_characters(spark):
         assert codec.decode(r.ids) == text and len(r.ids) == len(r.begin) == len(r.end)
         for i, b, e in zip(r.ids, r.begin, r.end):
             assert b < e <= len(text) and codec.decode_bytes([i]) in text[b:e].encode()
+
+
+def test_rows_with_dots_in_names(spark):
+    """The stages that keep rows look at no column by a name that Spark would read as a path."""
+    df = spark.createDataFrame([(1, "one", "u"), (2, None, "v"), (3, "two", None)], "doc_id long, text string, `meta.url` string")
+    out = common.keep_rows(df, "text", lambda: lambda texts: np.array([t is None or t == b"two" for t in texts]))
+    assert out.schema == df.schema and sorted(map(tuple, out.collect())) == [(2, None, "v"), (3, "two", None)]
